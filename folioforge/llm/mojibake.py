@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of improbability that a pair must exceed to add to a run.
-THETA = 1.5
+THETA = 0.8
+#: Bits of a pair with a character that no spelling has, at most.
+FOREIGN = -3.0
 #: Log likelihood that a one-byte mapping must gain, in nats.
 MARGIN = 3.0
 #: Nats that a mapping other than from the code pages 437 and 850 must gain besides.
@@ -219,7 +221,7 @@ class PairModel:
             if "z" in (x, y) or "x" in (x, y):
                 found = 0.0
             elif "s" in (x, y) and (x == "s" and ord(a) > 127 or y == "s" and ord(b) > 127):
-                found = min(found, -2 * THETA)
+                found = min(found, FOREIGN)
             self.scores[pair] = found
         return found
 
@@ -273,13 +275,22 @@ class Restorer:
         if found is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            found = self.memo[text] = self._restore(text)
+            found = self._restore(text)
+            for _ in range(2):  # what hid behind a restored run
+                again = self._restore(found[1]) if found[1] else (False, None, None)
+                if not again[0] or again[1] is None:
+                    break
+                found = (True, again[1], found[2] if again[2] in found[2] else f"{found[2]}, {again[2]}")
+            self.memo[text] = found
         return found
 
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Half-open ranges of the improbable runs of a value."""
         marked = EDGE + text + EDGE
         weights = [-self.model.score(marked[i : i + 2]) - THETA for i in range(len(marked) - 1)]
+        for i, c in enumerate(text):
+            if self._odd_capital(text, i):
+                weights[i] = max(weights[i], -FOREIGN)
         out: list[tuple[int, int]] = []
         for start, end in segments(weights):
             # pairs start..end-1 cover marked[start:end + 1], so text[start - 1:end]
@@ -347,13 +358,20 @@ class Restorer:
             return gain - least, other, kind, end
         return best
 
+    def _odd_capital(self, text: str, i: int) -> bool:
+        """Whether a capital outside ASCII stands inside a word of small letters."""
+        c = text[i]
+        if c.isascii() or not i or self.model.kind(c) != "U" or not text[i - 1].isalpha():
+            return False
+        return text[i - 1].islower() or i + 1 < len(text) and text[i + 1].islower()
+
     def _impossible(self, text: str, a: int, b: int) -> bool:
         """Whether a run holds a character that no spelling has where it stands."""
         for i in range(a, b):
             c = text[i]
             if self.model.kind(c) == "s" and not c.isascii():
                 return True
-            if self.model.kind(c) == "U" and not c.isascii() and i and text[i - 1].islower():
+            if self._odd_capital(text, i):
                 return True
         return False
 
