@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import frequency, lookalike, mojibake
-from folioforge.plans.records import packed_elements
+from folioforge.llm import canonical, frequency, lookalike, mojibake
+from folioforge.operators import multivalue
+from folioforge.operators.skew import salted_join
+from folioforge.plans.records import packed_elements, place_compounds
 from folioforge.session import table
 
 
@@ -62,11 +67,99 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_terms(spark, sf_dir).where("mark is not null").select("field_name", "term", "mark")
 
 
+#: Cosine from which an entry is a candidate, and its lead over the next.
+PLACE_THRESHOLD, PLACE_MARGIN = 0.15, 0.03
+# Abbreviations of words in place names.
+PLACE_WORDS = {"ft": "fort", "st": "saint", "ste": "sainte", "mt": "mount", "pt": "port", "hts": "heights", "spgs": "springs", "nr": "near"}
+
+
+def gazetteer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ref_key, form``: names, plain names and alternate names of the gazetteer."""
+    gazetteer = table(spark, sf_dir, "gazetteer")
+    forms = F.concat(F.array("name", "asciiname"), F.coalesce(F.split("alternatenames", ","), F.array().cast("array<string>")))
+    rows = gazetteer.select(F.col("name").alias("ref_key"), F.explode(forms).alias("form"))
+    return rows.where("ref_key is not null and form is not null").distinct()
+
+
+def region_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ref_key, form``: the entries of the 008 crosswalk as they are written."""
+    spell = F.udf(lambda name: sorted(canonical.name_forms(name)), "array<string>")
+    entries = table(spark, sf_dir, "marc_place_008_geonames").select(F.col("place_name_008").alias("ref_key"))
+    return entries.where("ref_key is not null").withColumn("form", F.explode(spell("ref_key"))).distinct()
+
+
+def _place_values(pairs: DataFrame, compounds: dict[str, list[str]]) -> DataFrame:
+    """Adds ``value``, the typed place with damage undone, to ``places, places_clean``; packed strings are dropped."""
+    named = pairs.select(F.col("places").alias("value"))
+    shared = pairs.sparkSession.sparkContext.broadcast((mojibake.fit(named), lookalike.fit(named)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        restore, unify = mojibake.Restorer(shared.value[0]), lookalike.Unifier(shared.value[1])
+        split = multivalue.Splitter(multivalue.Grammar(True, compounds["places"]))
+        for batch in batches:
+            rows = []
+            for typed, clean in zip(batch["places"], batch["places_clean"]):
+                if len(split(typed).values) > 1:
+                    continue
+                value = clean
+                if typed is not None and not typed.isascii():
+                    garbled, restored, _ = restore(typed)
+                    form = (restored or typed.replace("\ufffd", "")) if garbled else unify(typed)
+                    if form != typed:
+                        value = form
+                rows.append((typed, clean, canonical.fold(value)))
+            yield pd.DataFrame(rows, columns=["places", "places_clean", "value"])
+
+    return pairs.mapInPandas(run, "places string, places_clean string, value string")
+
+
+def p4_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct typed place that is no exact name: ``places, places_clean, ref_key, score``."""
+    clean = F.udf(multivalue.key, "string")
+    names = table(spark, sf_dir, "gazetteer").where("name is not null").select(clean("name").alias("places_clean")).distinct()
+    typed = table(spark, sf_dir, "imprint_places").where(F.col("places_clean").rlike(r"(?U)\S"))
+    pairs = typed.select("places", "places_clean").distinct().join(names, "places_clean", "left_anti").select("places", "places_clean")
+    values = _place_values(pairs, place_compounds(spark, sf_dir)).where("value is not null")
+    forms = gazetteer_forms(spark, sf_dir)
+    mapped = canonical.map_values(values.select("value").distinct(), forms, PLACE_THRESHOLD, PLACE_MARGIN, PLACE_WORDS)
+    return values.join(mapped, "value").select("places", "places_clean", "ref_key", "score")
+
+
+def p4_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct 008 place name that is no entry: ``place_name_008, ref_key, score``."""
+    entries = table(spark, sf_dir, "marc_place_008_geonames").select("place_name_008").where("place_name_008 is not null")
+    typed = table(spark, sf_dir, "imprint_places").where("place_name_008 is not null").select("place_name_008").distinct()
+    values = typed.join(entries, "place_name_008", "left_anti").select(F.col("place_name_008").alias("value"))
+    mapped = canonical.map_values(values, region_forms(spark, sf_dir), PLACE_THRESHOLD, PLACE_MARGIN)
+    return mapped.withColumnRenamed("value", "place_name_008")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of every place and 008 name that is not exactly one, or ``none``."""
+    rows = table(spark, sf_dir, "imprint_places")
+    # A null place would match no key of a join; a mark stands for it on both sides.
+    typed = F.coalesce("places", F.lit("\x00")).alias("typed")
+    places = salted_join(
+        rows.where("places_clean is not null").select("obs_id", typed, "places_clean"),
+        p4_places(spark, sf_dir).select(typed, "places_clean", "ref_key"),
+        ["typed", "places_clean"],
+    ).select(F.lit("places_clean").alias("field_name"), "obs_id", F.coalesce("ref_key", F.lit("none")).alias("ref_key"))
+    regions = salted_join(
+        rows.where("place_name_008 is not null").select("obs_id", "place_name_008"),
+        p4_regions(spark, sf_dir).select("place_name_008", "ref_key"),
+        ["place_name_008"],
+    ).select(F.lit("place_name_008").alias("field_name"), "obs_id", F.coalesce("ref_key", F.lit("none")).alias("ref_key"))
+    return places.unionByName(regions)
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p4_found": p4_found,
+    "p4_places": p4_places,
+    "p4_regions": p4_regions,
     "p6_found": p6_found,
     "p6_terms": p6_terms,
 }
