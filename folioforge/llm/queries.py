@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import canonical, frequency, lookalike, mojibake
+from folioforge.llm import canonical, frequency, lookalike, mojibake, names
 from folioforge.operators import multivalue
 from folioforge.operators.skew import salted_join
 from folioforge.plans.records import packed_elements, place_compounds
-from folioforge.session import table
+from folioforge.session import cut_lineage, table
 
 
 def _places_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +152,51 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.unionByName(regions)
 
 
+def _spelt(elements: DataFrame) -> DataFrame:
+    """``field_name, row_id, key, form``; garbled and packed publishers are left out."""
+    publishers = elements.where("field_name = 'publishers'")
+    shared = elements.sparkSession.sparkContext.broadcast((mojibake.fit(publishers), lookalike.fit(elements)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        restore, unify = mojibake.Restorer(shared.value[0]), lookalike.Unifier(shared.value[1])
+        split = multivalue.Splitter(multivalue.Grammar(False))
+        memo: dict[tuple[str, str], tuple[str, str]] = {}
+        for batch in batches:
+            rows = []
+            for name, row, value in zip(batch["field_name"], batch["row_id"], batch["value"]):
+                found = memo.get((name, value))
+                if found is None:
+                    if len(memo) >= mojibake.MEMO:
+                        memo.clear()
+                    left_out = name == "publishers" and (restore(value)[0] or len(split(value).values) > 1)
+                    form = "" if left_out else unify(value)
+                    found = memo[name, value] = (names.spelling_key(form), form)
+                if found[0]:
+                    rows.append((name, row, *found))
+            yield pd.DataFrame(rows, columns=["field_name", "row_id", "key", "form"])
+
+    schema = "field_name string, row_id bigint, key string, form string"
+    return elements.where("value is not null").select("field_name", "row_id", "value").mapInPandas(run, schema)
+
+
+def _named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "marc_records")
+    authors = records.select(F.lit("first_author").alias("field_name"), F.col("rec_id").alias("row_id"), F.col("first_author").alias("value"))
+    firms = records.select(F.lit("publishers").alias("field_name"), F.col("rec_id").alias("row_id"), F.explode("publishers").alias("value"))
+    return cut_lineage(_spelt(authors.unionByName(firms)))
+
+
+def p7_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct spelling with the centre of its cluster, which is its class."""
+    return names.clusters(_named_rows(spark, sf_dir))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that name the same person or firm in different spellings."""
+    rows = _named_rows(spark, sf_dir)
+    return names.variant_pairs(rows, cut_lineage(names.clusters(rows)))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
@@ -162,6 +207,8 @@ QUERIES = {
     "p4_regions": p4_regions,
     "p6_found": p6_found,
     "p6_terms": p6_terms,
+    "p7_found": p7_found,
+    "p7_spellings": p7_spellings,
 }
 
 _TERMS = """WITH t AS (
