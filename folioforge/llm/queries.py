@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import canonical, frequency, lookalike, mojibake, names
+from folioforge.llm import canonical, frequency, leakage, lookalike, mojibake, names, packing, toxicity
 from folioforge.operators import multivalue
 from folioforge.operators.skew import salted_join
 from folioforge.plans.records import packed_elements, place_compounds
@@ -197,6 +197,43 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_pairs(rows, cut_lineage(names.clusters(rows)))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or piece of one longer than 1,024 tokens, with its container."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and unused share of each capacity."""
+    return packing.fill(p8_containers(spark, sf_dir))
+
+
+def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and evaluation item that leaked into it, with the passage."""
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items that leaked into them."""
+    return p9_passages(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, best passage and flag of every document."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of flagged documents of every source, those without documents included."""
+    sources = table(spark, sf_dir, "text_sources").select("source")
+    found = toxicity.rates(p10_scores(spark, sf_dir))
+    return sources.join(found, "source", "full_outer").fillna(0, ["documents", "flagged"])
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least one abusive, hateful or sexually explicit passage."""
+    return p10_scores(spark, sf_dir).where("flagged").select("doc_id")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
@@ -209,6 +246,13 @@ QUERIES = {
     "p6_terms": p6_terms,
     "p7_found": p7_found,
     "p7_spellings": p7_spellings,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_passages": p9_passages,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
+    "p10_scores": p10_scores,
 }
 
 _TERMS = """WITH t AS (
