@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.plans import records
+from folioforge.plans import records, series
 
-MODULES = [records]
+MODULES = [records, series]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "city_share_ci"
