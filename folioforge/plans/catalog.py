@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.plans import fields, records, series
+from folioforge.plans import fields, geo, records, series
 
-MODULES = [records, series, fields]
+MODULES = [records, series, fields, geo]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 FLAGSHIP = "city_share_ci"
