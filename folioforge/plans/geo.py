@@ -302,6 +302,11 @@ FROM (SELECT trim(lccn) AS k, count(*) AS n FROM imprint_places WHERE trim(lccn)
     "lccn_join": f"""WITH r AS (SELECT {_LCCN.format('lccn')} AS k, rec_id, title FROM marc_records), f AS (SELECT k, rec_id AS first_rec, title FROM r WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY rec_id) = 1)
 SELECT obs_id, p.k, first_rec, title FROM (SELECT obs_id, {_LCCN.format('lccn')} AS k FROM imprint_places) p LEFT JOIN f USING (k)""",
     "semi_several": f"SELECT obs_id, lccn FROM imprint_places WHERE lccn IN (SELECT lccn FROM imprint_places WHERE lccn IS NOT NULL GROUP BY 1 HAVING count(*) FILTER ({_REAL}) <= 1)",
+    "place_hints": """WITH f AS (SELECT rec_id, arg_min(place_name_008, obs_id) AS name FROM imprint_places WHERE place_name_008 IS NOT NULL GROUP BY 1),
+s AS (SELECT rec_id, i, unnest(o.subfields) AS s, generate_subscripts(o.subfields, 1) AS j FROM (SELECT rec_id, unnest(place_hierarchy_752) AS o, generate_subscripts(place_hierarchy_752, 1) AS i FROM marc_records) WHERE o IS NOT NULL),
+l AS (SELECT rec_id, i, string_agg(trim(s.text), ', ' ORDER BY s.code, j) AS line FROM s WHERE s.code IN ('a', 'b', 'c', 'd', 'e') AND trim(s.text) <> '' GROUP BY 1, 2),
+h AS (SELECT rec_id, arg_min(line, i) AS line FROM l GROUP BY 1)
+SELECT rec_id, nullif(concat_ws(chr(10), '008 place: ' || nullif(trim(name), ''), '752 hierarchy: ' || nullif(trim(line), '')), '') AS hint FROM marc_records LEFT JOIN f USING (rec_id) LEFT JOIN h USING (rec_id)""",
     "scope_names": f"WITH {_SCOPE} {_SCOPED} FROM (SELECT DISTINCT name, {_KEY.format(_BARE.format('name'))} AS k FROM marc_country_codes) LEFT JOIN nat USING (k) LEFT JOIN reg USING (k)",
     "answer_scopes": f"""WITH {_SCOPE}, p AS (SELECT geo_key, trim(name) AS name, pos FROM (SELECT places AS geo_key, unnest(string_split(places, ',')) AS name, generate_subscripts(string_split(places, ','), 1) - 1 AS pos FROM (SELECT DISTINCT places FROM imprint_places WHERE places IS NOT NULL)) WHERE pos > 0),
 s AS (SELECT geo_key, pos, coalesce(national, CASE WHEN n = 1 THEN c END) AS country, CASE WHEN national IS NULL AND n = 1 THEN a END AS admin1
