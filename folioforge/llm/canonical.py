@@ -203,10 +203,11 @@ def by_join(
     distinct: DataFrame, forms: DataFrame, threshold: float, margin: float, abbreviations: dict[str, str] | None = None, whole: bool = False
 ) -> DataFrame:
     """:func:`map_values` for reference lists of any size, by a join on n-grams."""
+    forms = forms.where("form is not null and ref_key is not null").select("ref_key", "form").distinct()
     size = F.udf(lambda t: len(fold(t).split()), "int")
     longest = forms.agg(F.max(size("form"))).first()[0] or 1
     shortest = forms.agg(F.min(F.udf(lambda t: len(fold(t).replace(" ", "")), "int")("form"))).first()[0] or 1
-    number = forms.where("form is not null and ref_key is not null").select("ref_key", "form").distinct().count() or 1
+    number = forms.count() or 1
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

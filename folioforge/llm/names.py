@@ -161,7 +161,7 @@ def fullness(form: str) -> int:
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "little")
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
 
 
 def qgrams(core: str) -> set[str]:
@@ -174,23 +174,28 @@ def qgrams(core: str) -> set[str]:
 
 
 class MinHash:
-    """Band hashes of a set of q-grams by ``a * x + b`` modulo a prime."""
-
-    PRIME = (1 << 61) - 1
+    """Band hashes of a set of q-grams; each function multiplies and mixes 64-bit hashes."""
 
     def __init__(self, n_bands: int, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.n_bands = n_bands
-        self.a = rng.integers(1, 1 << 29, n_bands * ROWS, dtype=np.int64)
-        self.b = rng.integers(0, 1 << 60, n_bands * ROWS, dtype=np.int64)
+        self.odd = rng.integers(0, 1 << 63, n_bands * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = rng.integers(0, 1 << 63, n_bands * ROWS, dtype=np.uint64)
+
+    @staticmethod
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return x ^ (x >> np.uint64(29))
+
+    def signature(self, grams: set[str]) -> np.ndarray:
+        x = np.array([_hash(g) for g in grams], dtype=np.uint64)
+        return self.mix(self.odd[:, None] * x[None, :] + self.add[:, None]).min(axis=1)
 
     def bands(self, grams: set[str]) -> list[int]:
-        x = np.array([_hash(g) for g in grams], dtype=np.int64)
-        low = ((self.a[:, None] * x[None, :] + self.b[:, None]) % self.PRIME).min(axis=1).reshape(self.n_bands, ROWS)
+        low = self.signature(grams).reshape(self.n_bands, ROWS)
         mixed = np.zeros(self.n_bands, dtype=np.uint64)
         for i in range(ROWS):
-            mixed = (mixed ^ low[:, i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
+            mixed = self.mix(mixed + low[:, i])
         return mixed.astype(np.int64).tolist()
 
 
