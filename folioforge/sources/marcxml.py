@@ -24,15 +24,15 @@ IMPRINT = ["260", "264"]
 PUBLICATION = [" ", "1"]
 
 
-def read_marc(spark: SparkSession, path: str, pattern: str = "*.xml.gz", left_out: str = "combined") -> DataFrame:
+def read_marc(spark: SparkSession, path: str, pattern: str = "*.xml.gz", left_out: str = "combined", row_tag: str = "record") -> DataFrame:
     """Parsed records of a folder with ``source_record_id`` = ``file:number``, numbers from 1.
 
-    Files whose names contain ``left_out`` are skipped.  Default-namespace and prefixed
-    files both parse.  The record-wise parser goes on after a record that is not well-formed;
+    Files whose names contain ``left_out`` are skipped.  ``row_tag`` has the prefix of
+    prefixed files, ``marc:record``.  The record-wise parser goes on after a record that is not well-formed;
     the other one may drop the rest of the file.
     """
     reader = spark.read.format("xml").schema(f"{SCHEMA}, {CORRUPT} string")
-    options = {"rowTag": "record", "ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "pathGlobFilter": pattern, "useLegacyXMLParser": "true"}
+    options = {"rowTag": row_tag, "ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "pathGlobFilter": pattern, "useLegacyXMLParser": "true"}
     rows = reader.options(**options).load(path).select("*", F.col("_metadata.file_name").alias("file"))
     rows = rows.where(~F.col("file").contains(left_out)).withColumn("__at", F.monotonically_increasing_id())
     number = F.row_number().over(Window.partitionBy("file").orderBy("__at"))
