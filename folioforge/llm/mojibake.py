@@ -26,8 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of improbability that a pair must exceed to add to a run.
-THETA = 0.8
+#: Bits of improbability that a pair must exceed to add to a run; wide runs are safe, for only
+#: mappings that make them likelier are accepted.
+THETA = -0.5
 #: Bits of a pair with a character that no spelling has, at most.
 FOREIGN = -3.0
 #: Log likelihood that a one-byte mapping must gain, in nats.
