@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,31 @@ def get_spark(app: str = "folioforge", master: str | None = None, **conf: str) -
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+ROOT = Path(__file__).resolve().parent.parent
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once a context.
+
+    Nothing to do where it is installed or its folder is on the PYTHONPATH that workers
+    inherit; else the driver serves it to them as a zip file.
+    """
+    context = spark.sparkContext
+    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    installed = "site-packages" in ROOT.parts or ROOT in paths
+    if installed or getattr(context, "_folioforge_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="folioforge-")) / "folioforge.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted((ROOT / "folioforge").rglob("*.py")):
+            out.write(file, file.relative_to(ROOT))
+    context.addPyFile(str(path))
+    context._folioforge_shipped = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -43,6 +69,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores, before costly work on few bytes that AQE would leave to one task."""
+    spark = df.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one parquet table of a data directory."""
+    ship_package(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
