@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.canonical import fold
 from folioforge.operators.multivalue import within_edits
 from folioforge.operators.skew import salted_join
-from folioforge.session import cut_lineage
+from folioforge.session import cut_lineage, spread
 
 Q = 3
 ROWS = 4
@@ -236,13 +236,13 @@ def similar_cores(cores: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> Dat
                 }
             )
 
-    banded = cut_lineage(cores.mapInPandas(run, "field_name string, core string, band int, bucket bigint"))
+    banded = cut_lineage(spread(cores).mapInPandas(run, "field_name string, core string, band int, bucket bigint"))
     on = ["field_name", "band", "bucket"]
     sizes = banded.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     small = banded.join(sizes.where(F.col("n") <= most_in_bucket), on).select(*on, "core")
     near = small.alias("a").join(small.alias("b"), on).where("a.core < b.core").select("field_name", F.col("a.core").alias("core_a"), F.col("b.core").alias("core_b"))
-    crowded = banded.join(sizes.where(F.col("n") > most_in_bucket), on, "left_semi").select("field_name", "core").distinct()
-    return near.unionByName(prefix_join(crowded)).distinct()
+    crowded = cut_lineage(banded.join(sizes.where(F.col("n") > most_in_bucket), on, "left_semi").select("field_name", "core").distinct())
+    return near.distinct() if crowded.isEmpty() else near.unionByName(prefix_join(crowded)).distinct()
 
 
 def prefix_join(cores: DataFrame, similarity: float = SIMILAR) -> DataFrame:
@@ -280,7 +280,7 @@ def links(spellings: DataFrame, most_in_core: int = MOST_IN_CORE) -> DataFrame:
             yield batch.assign(core=core, letters=letters)
 
     schema = "field_name string, key string, form string, core string, letters array<string>"
-    cored = cut_lineage(spellings.select("field_name", "key", "form").mapInPandas(with_core, schema))
+    cored = cut_lineage(spread(spellings.select("field_name", "key", "form")).mapInPandas(with_core, schema))
 
     def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -288,7 +288,7 @@ def links(spellings: DataFrame, most_in_core: int = MOST_IN_CORE) -> DataFrame:
             yield batch[keep]
 
     cores = cored.select("field_name", "core").distinct()
-    pairs = similar_cores(cores).mapInPandas(agreeing, "field_name string, core_a string, core_b string")
+    pairs = spread(similar_cores(cores)).mapInPandas(agreeing, "field_name string, core_a string, core_b string")
     groups = cores.select("field_name", F.col("core").alias("core_a"), F.col("core").alias("core_b")).unionByName(pairs)
     # small cores meet on one block, crowded ones on the letters of their given names
     sizes = cored.groupBy("field_name", "core").agg((F.count(F.lit(1)) > most_in_core).alias("crowded"))
@@ -312,7 +312,7 @@ def links(spellings: DataFrame, most_in_core: int = MOST_IN_CORE) -> DataFrame:
                     rows.append((name, min(ka, kb), max(ka, kb), likeness))
             yield pd.DataFrame(rows, columns=["field_name", "key_a", "key_b", "likeness"])
 
-    found = met.mapInPandas(verified, "field_name string, key_a string, key_b string, likeness double")
+    found = spread(met).mapInPandas(verified, "field_name string, key_a string, key_b string, likeness double")
     return found.groupBy("field_name", "key_a", "key_b").agg(F.max("likeness").alias("likeness"))
 
 
