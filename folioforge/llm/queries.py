@@ -12,7 +12,7 @@ from folioforge.llm import canonical, frequency, leakage, lookalike, mojibake, n
 from folioforge.operators import multivalue
 from folioforge.operators.skew import salted_join
 from folioforge.plans.records import packed_elements, place_compounds
-from folioforge.session import cut_lineage, table
+from folioforge.session import cut_lineage, spread, table
 
 
 def _places_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def _place_values(pairs: DataFrame, compounds: dict[str, list[str]]) -> DataFram
                 rows.append((typed, clean, canonical.fold(value)))
             yield pd.DataFrame(rows, columns=["places", "places_clean", "value"])
 
-    return pairs.mapInPandas(run, "places string, places_clean string, value string")
+    return spread(pairs).mapInPandas(run, "places string, places_clean string, value string")
 
 
 def p4_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ def p4_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = typed.select("places", "places_clean").distinct().join(names, "places_clean", "left_anti").select("places", "places_clean")
     values = _place_values(pairs, place_compounds(spark, sf_dir)).where("value is not null")
     forms = gazetteer_forms(spark, sf_dir)
-    mapped = canonical.map_values(values.select("value").distinct(), forms, PLACE_THRESHOLD, PLACE_MARGIN, PLACE_WORDS)
+    mapped = canonical.map_values(spread(values.select("value").distinct()), forms, PLACE_THRESHOLD, PLACE_MARGIN, PLACE_WORDS)
     return values.join(mapped, "value").select("places", "places_clean", "ref_key", "score")
 
 
