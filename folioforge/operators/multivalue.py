@@ -40,12 +40,24 @@ SPLITTABLE = re.compile(r";|\||--|\t|\n| / |\(\d|&|,|\band\b|\"", re.IGNORECASE)
 MEMO = 200_000
 
 
-def plain(text: str) -> str:
-    """Compatibility form without ignorable characters, so that delimiters are recognised."""
+def plain(text: str) -> tuple[str, list[int] | None]:
+    """Compatibility form without ignorable characters, so that delimiters are recognised.
+
+    Also the offset in the text of each character, none where they are the same.
+    """
     if text.isascii():
-        return text
-    folded = unicodedata.normalize("NFKC", text)
-    return "".join(c for c in folded if unicodedata.category(c) != "Cf")
+        return text, None
+    out: list[str] = []
+    offsets: list[int] = []
+    for i, c in enumerate(text):
+        if c.isascii():
+            out.append(c)
+            offsets.append(i)
+        elif unicodedata.category(c) != "Cf":
+            for x in unicodedata.normalize("NFKC", c):
+                out.append(x)
+                offsets.append(i)
+    return "".join(out), offsets
 
 
 def key(text: str) -> str:
@@ -74,6 +86,28 @@ def within_edits(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span without white space at its ends."""
+    while start < end and text[start].isspace():
+        start += 1
+    while end > start and text[end - 1].isspace():
+        end -= 1
+    return start, end
+
+
+def ascii_letters(text: str) -> str:
+    """Lower-case ASCII letters alone: what wrong encodings leave of a name."""
+    return re.sub("[^a-z]", "", text.lower())
+
+
+def fewest_edits(name: str, candidates: list[str], most: int) -> int | None:
+    """Fewest edits from any candidate to a name, or none within ``most``."""
+    for edits in range(most + 1):
+        if any(within_edits(c, name, edits) for c in candidates):
+            return edits
+    return None
+
+
 @dataclass
 class Parse:
     """The values of one string, as typed, and what went wrong."""
@@ -86,37 +120,44 @@ class Grammar:
     """The parser of one kind of field.
 
     ``conjunctions``: whether ``and`` and ``&`` can separate values.  ``compounds``: names
-    that hold a conjunction themselves, a small list.
+    that hold a conjunction themselves; ``regions``: names that follow a place's; both small.
     """
 
-    def __init__(self, conjunctions: bool, compounds: list[str] = ()):
+    def __init__(self, conjunctions: bool, compounds: list[str] = (), regions: list[str] = ()):
         self.conjunctions = conjunctions
-        self.compounds = []
+        self.regions = {key(r) for r in regions} | {key(r.split("(")[0]) for r in regions}
+        self.compounds, self.bare_compounds = [], []
         for name in compounds:
-            for sides in re.split(r"\s+and\s+|\s*&\s*", name, flags=re.IGNORECASE), key(name).split(" and "):
-                pair = tuple(key(x).replace(" ", "") for x in sides)
-                if len(pair) == 2 and all(pair) and pair not in self.compounds:
-                    self.compounds.append(pair)
+            sides = re.split(r"\s+and\s+|\s*&\s*", name, flags=re.IGNORECASE)
+            for fold, pairs in ((key, self.compounds), (ascii_letters, self.bare_compounds)):
+                pair = tuple(fold(x).replace(" ", "") for x in sides)
+                if len(pair) == 2 and min(map(len, pair)) > 3 and pair not in pairs:
+                    pairs.append(pair)
 
     def parse(self, text: str | None) -> Parse:
-        """Values in order; none for null or blank text."""
+        """Values in order, as typed; none for null or blank text."""
         if text is None:
             return Parse([])
-        text = plain(text)
+        body, offsets = plain(text)
         errors: list[str] = []
-        body = text.strip(" \r\n\t")
-        values = self._enumerated(body, errors) or self._sequence(body, errors)
-        return Parse([v for v in values if v.strip(TRAIL + '[]"')], errors)
-
-    def _enumerated(self, text: str, errors: list[str]) -> list[str] | None:
-        marks = list(MARK.finditer(text))
-        if len(marks) < 2 or marks[0].start():
+        at, end = trimmed(body, 0, len(body))
+        spans = self._enumerated(body, at, end) or self._sequence(body[at:end], at, errors)
+        values = []
+        for a, b in spans:
+            if body[a:b].strip(TRAIL + '[]"'):
+                values.append(body[a:b] if offsets is None else text[offsets[a] : offsets[b - 1] + 1])
+        return Parse(values, errors)
+
+    def _enumerated(self, text: str, at: int, end: int) -> list[tuple[int, int]] | None:
+        marks = list(MARK.finditer(text, at, end))
+        if len(marks) < 2 or marks[0].start() > at:
             return None
-        ends = [m.start() for m in marks[1:]] + [len(text)]
-        return [text[m.end() : e].strip() for m, e in zip(marks, ends)]
+        ends = [m.start() for m in marks[1:]] + [end]
+        return [trimmed(text, m.end(), e) for m, e in zip(marks, ends)]
 
-    def _sequence(self, text: str, errors: list[str]) -> list[str]:
-        values: list[str] = []
+    def _sequence(self, text: str, base: int, errors: list[str]) -> list[tuple[int, int]]:
+        """Spans of the items of a part of the text that begins at ``base``."""
+        values: list[tuple[int, int]] = []
         at, n = 0, len(text)
         after_quote = False
         series = self._series(text)
@@ -133,7 +174,7 @@ class Grammar:
                 item = self._bare(text, at, series)
             found, at = item
             values.extend(found)
-        return values
+        return [(a + base, b + base) for a, b in values]
 
     def _series(self, text: str) -> bool:
         """Whether the text is a series ``A, B, and C``."""
@@ -155,7 +196,7 @@ class Grammar:
             errors.append("unclosed quote" if end < 0 else "text after quote")
             return None
         end += 1
-        return [text[at:end]], end
+        return [(at, end)], end
 
     def _bracketed(self, text: str, at: int, series: bool, errors: list[str]):
         if text[at] != "[":
@@ -164,7 +205,8 @@ class Grammar:
         if end < 0 or not self._closed(text, end + 1, series):
             errors.append("unclosed bracket" if end < 0 else "text after bracket")
             return None
-        return [v for v in self._sequence(text[at + 1 : end], errors) if v.strip(TRAIL)], end + 1
+        inside = self._sequence(text[at + 1 : end], at + 1, errors)
+        return [(a, b) for a, b in inside if text[a:b].strip(TRAIL)], end + 1
 
     def _bare(self, text: str, at: int, series: bool):
         start, n = at, len(text)
@@ -179,7 +221,7 @@ class Grammar:
             elif not depth and self._delim(text, at, start, series, False):
                 break
             at += 1
-        return [text[start:at].strip()], at
+        return [trimmed(text, start, at)], at
 
     def _delim(self, text: str, at: int, start: int, series: bool, after_quote: bool) -> int | None:
         """The end of a delimiter at ``at``, or none."""
@@ -193,18 +235,23 @@ class Grammar:
             left, right = text[start:at], text[m.end() :]
             return None if self._compound(left, right) or not right.strip(TRAIL) or not left.strip(TRAIL) and start else m.end()
         if series and (m := COMMA.match(text, at)) and text[m.end() :].strip(TRAIL + '[]"'):
-            return m.end()
+            following = text[m.end() :].split(",")[0].strip()
+            # an abbreviation, or a region, belongs to the place before it
+            return None if following.endswith(".") or key(following) in self.regions else m.end()
         return None
 
     def _compound(self, left: str, right: str) -> bool:
-        """Whether the texts around a conjunction end and begin a compound name."""
-        left, right = key(left), key(right)
-        for a, b in self.compounds:
-            for x in left.replace(" ", "")[-len(a) - 1 :], left.replace(" ", "")[-len(a) :], left.replace(" ", "")[-len(a) + 1 :]:
-                if within_edits(x, a, max(1, len(a) // 5)):
-                    for y in right.replace(" ", "")[: len(b) + 1], right.replace(" ", "")[: len(b)], right.replace(" ", "")[: len(b) - 1]:
-                        if within_edits(y, b, max(1, len(b) // 5)):
-                            return True
+        """Whether the texts around a conjunction end and begin a compound name, misspelt or damaged."""
+        for fold, pairs in ((key, self.compounds), (ascii_letters, self.bare_compounds)):
+            x, y = fold(left).replace(" ", ""), fold(right).replace(" ", "")
+            for a, b in pairs:
+                most = (len(a) + len(b)) // 4
+                one = fewest_edits(a, [x[-len(a) - k :] for k in range(-2, 3) if len(a) + k > 0], len(a) // 3)
+                if one is None or one > most:
+                    continue
+                two = fewest_edits(b, [y[: len(b) + k] for k in range(-2, 3)], len(b) // 3)
+                if two is not None and one + two <= most:
+                    return True
         return False
 
 
@@ -232,13 +279,15 @@ class Splitter:
 PACKED_SCHEMA = "field_name string, row_id bigint, elem int, pos int, n_values int, value string, error string"
 
 
-def split_values(elements: DataFrame, compounds: dict[str, list[str]], packed_only: bool = False) -> DataFrame:
+def split_values(
+    elements: DataFrame, compounds: dict[str, list[str]], packed_only: bool = False, regions: dict[str, list[str]] | None = None
+) -> DataFrame:
     """One row for each value of ``elements(field_name, row_id, elem, value)``.
 
     Result: ``field_name, row_id, elem, pos, n_values, value, error``; ``pos`` counts from 0
     and ``error`` names what the parser backtracked on, else null.  ``compounds`` has the
     lexicon of each field in which conjunctions separate; other fields split on delimiters
-    only.  Null and blank texts have no rows; repeated rows are each split; texts of any
+    only.  ``regions`` has the names that belong to the place before them in a series.  Null and blank texts have no rows; repeated rows are each split; texts of any
     length are parsed whole.  With ``packed_only`` strings of a single value are left out.
     Narrow: rows stay in their partitions, each worker parses a distinct string once.
     """
@@ -249,7 +298,7 @@ def split_values(elements: DataFrame, compounds: dict[str, list[str]], packed_on
             rows = []
             for name, row, elem, value in zip(batch["field_name"], batch["row_id"], batch["elem"], batch["value"]):
                 if name not in splitters:
-                    splitters[name] = Splitter(Grammar(name in compounds, compounds.get(name, [])))
+                    splitters[name] = Splitter(Grammar(name in compounds, compounds.get(name, []), (regions or {}).get(name, [])))
                 found = splitters[name](value)
                 n = len(found.values)
                 if packed_only and n < 2:

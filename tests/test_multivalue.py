@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 
 from folioforge.operators import multivalue as M
 
-PLACES = M.Grammar(True, ["Vick and Kelt", "Melt and Dork"])
+PLACES = M.Grammar(True, ["Vick and Kelt", "Véck and Kelt", "Melt and Dork"], ["Dorkland (State)"])
 FIRMS = M.Grammar(False)
 
 
@@ -30,7 +30,11 @@ FIRMS = M.Grammar(False)
         ('"A; B', ['"A', "B"]),
         ("[A ; B", ["[A", "B"]),
         ("A ;", ["A"]),
-        ("Ａ；Ｂ", ["A", "B"]),
+        ("Ａ；Ｂ³", ["Ａ", "Ｂ³"]),
+        ("Alpha　ａ​ｎｄ Βeta", ["Alpha", "Βeta"]),
+        ("Alpha, Reg., Beta, and Gamma", ["Alpha, Reg.", "Beta", "Gamma"]),
+        ("Alpha, Dorkland, Beta, and Gamma", ["Alpha, Dorkland", "Beta", "Gamma"]),
+        ("VÃƒÂ©ck and Kelt ; Beta", ["VÃƒÂ©ck and Kelt", "Beta"]),
         ("", []), (" ; ", []), (None, []),
     ],
 )
