@@ -171,8 +171,9 @@ class Unifier:
         best, score = word, None
         for script in sorted(common):
             path = self._path([o[script] for o in lattice], script)
-            # a letter read as another costs little; the script of the value's other letters counts
-            path += 3.0 * math.log(1 + shown[script]) + self.model.script(script)
+            # a letter read as another costs little; the script that the value's other letters
+            # show counts much, and where they show none the frequent script is likelier
+            path += 10.0 * math.log(1 + shown[script]) if shown else self.model.script(script)
             path -= 0.01 * sum(o[script] != c for o, c in zip(lattice, word))
             if score is None or path > score:
                 best, score = "".join(o[script] for o in lattice), path

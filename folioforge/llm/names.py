@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.canonical import fold
+from folioforge.llm.mojibake import ansel
 from folioforge.operators.multivalue import within_edits
 from folioforge.operators.skew import salted_join
 from folioforge.session import cut_lineage, spread
@@ -96,14 +97,20 @@ def tokens(form: str) -> list[str]:
     return fold(YEAR.sub("", form)).split()
 
 
-def token_likeness(a: str, b: str) -> float:
-    """1 for equal tokens, less for nickname, abbreviation, initial and typo, else 0."""
+GIVEN = frozenset(NICKNAMES.values())
+
+
+def token_likeness(a: str, b: str, shortened: bool = True) -> float:
+    """1 for equal tokens, less for nickname, abbreviation, initial and typo, else 0.
+
+    ``shortened``: whether abbreviations and initials count.
+    """
     if a == b:
         return 1.0
     if NICKNAMES.get(a, a) == NICKNAMES.get(b, b) or a in ALSO and ALSO[a] in (b, NICKNAMES.get(b)) or b in ALSO and ALSO[b] in (a, NICKNAMES.get(a)):
         return 0.95
     short, long = sorted((a, b), key=len)
-    if short and short[0] == long[0]:
+    if shortened and short and short[0] == long[0]:
         if len(short) == 1:
             return 0.9
         rest = iter(long)
@@ -118,13 +125,21 @@ def token_likeness(a: str, b: str) -> float:
 
 
 def monge_elkan(a: list[str], b: list[str], weights: dict[str, float]) -> float:
-    """Weighted Monge-Elkan similarity, the better of both directions; idle words are skipped."""
+    """Weighted Monge-Elkan similarity, the better of both directions; idle words are skipped.
+
+    Only common words (those with a weight) and given names are ever shortened; a rare word
+    that begins alike is another name.
+    """
     a = [t for t in a if t not in IDLE or len(t) == 1] or a
     b = [t for t in b if t not in IDLE or len(t) == 1] or b
 
+    def like(t: str, u: str) -> float:
+        long = max(t, u, key=len)
+        return token_likeness(t, u, long in weights or long in GIVEN)
+
     def one_way(x: list[str], y: list[str]) -> float:
         total = sum(weights.get(t, RARE_WEIGHT) for t in x)
-        return sum(weights.get(t, RARE_WEIGHT) * max((token_likeness(t, u) for u in y), default=0.0) for t in x) / total if total else 0.0
+        return sum(weights.get(t, RARE_WEIGHT) * max((like(t, u) for u in y), default=0.0) for t in x) / total if total else 0.0
 
     # the smaller side's rare tokens must all be met, so a shared common word alone links nothing
     return max(one_way(a, b), one_way(b, a))
@@ -352,6 +367,24 @@ def clusters(rows: DataFrame) -> DataFrame:
     return star_clusters(spellings.select("field_name", "key", rank("form").alias("rank")), edges)
 
 
+def damaged_keys(rows: DataFrame) -> DataFrame:
+    """``field_name, key`` of spellings that are another, twice as frequent one read in the wrong encoding.
+
+    An exact check for marks that were read as letters before their own: the letters alone
+    can look likely, but the spelling without them is there.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(n, k, spelling_key(other), c) for n, k, f, c in zip(batch["field_name"], batch["key"], batch["form"], batch["n"]) if not f.isascii() and (other := ansel(f))]
+            yield pd.DataFrame(found, columns=["field_name", "key", "other", "n"])
+
+    counts = cut_lineage(rows.groupBy("field_name", "key").agg(F.min("form").alias("form"), F.count(F.lit(1)).alias("n")))
+    suspects = counts.mapInPandas(run, "field_name string, key string, other string, n bigint").where("key <> other")
+    known = counts.select("field_name", F.col("key").alias("other"), F.col("n").alias("support"))
+    return suspects.join(known, ["field_name", "other"]).where("support >= 2 * n").select("field_name", "key").distinct()
+
+
 def variant_pairs(rows: DataFrame, found: DataFrame, salts: int = 16) -> DataFrame:
     """``field_name, rec_a, rec_b``: rows of one cluster in different spellings, each pair once.
 

@@ -183,7 +183,10 @@ def _named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "marc_records")
     authors = records.select(F.lit("first_author").alias("field_name"), F.col("rec_id").alias("row_id"), F.col("first_author").alias("value"))
     firms = records.select(F.lit("publishers").alias("field_name"), F.col("rec_id").alias("row_id"), F.explode("publishers").alias("value"))
-    return cut_lineage(_spelt(authors.unionByName(firms)))
+    rows = cut_lineage(_spelt(authors.unionByName(firms)))
+    # garbled elements are left out, and only publishers have any
+    damaged = names.damaged_keys(rows.where("field_name = 'publishers'"))
+    return cut_lineage(rows.join(damaged, ["field_name", "key"], "left_anti"))
 
 
 def p7_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,13 @@ def test_clusters_and_pairs(spark):
     assert N.clusters(rows.limit(0)).count() == 0
 
 
+def test_damaged_keys(spark):
+    forms = ["Verlag Vérnehansen"] * 4 + ["Verlag Vâernehansen", "Samasnänbel"]
+    rows = spark.createDataFrame([("publishers", i, N.spelling_key(f), f) for i, f in enumerate(forms)], "field_name string, row_id bigint, key string, form string")
+    assert [tuple(r) for r in N.damaged_keys(rows).collect()] == [("publishers", "verlagvaernehansen")]
+    assert N.damaged_keys(rows.limit(0)).count() == 0
+
+
 def test_crowded_core_and_bucket(spark):
     rng = random.Random(2)
     given = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(150)]
