@@ -46,7 +46,7 @@ MOST_IN_CORE = 100
 COMMON_SHARE, COMMON_LEAST = 0.004, 20
 RARE_WEIGHT = 7.0
 #: Monge-Elkan similarity from which two spellings may mean the same.
-ALIKE = 0.88
+ALIKE = 0.86
 YEAR = re.compile(r"[\s,;:.(\[]*\b\d{4}\b[\s.,;:\"\])]*$")
 
 # Nicknames and short forms of given names.
@@ -74,6 +74,17 @@ ALSO = {"ted": "theodore", "teddy": "theodore", "rick": "richard", "nell": "elea
 IDLE = frozenset(
     "a and by casa co comp company da dr ed edit editeur editor et inc limited ltd messrs miss mr mrs ms of prof rev s sa sir the trans translator und y".split()
 )
+# Words that firms share.
+FIRM = frozenset(
+    "ancora bks book books buchhandlung casa edic edicoes edition editions hist historical house libreria librairie livros pr press pub publ publisher publishers "
+    "publishing sao soc societe society son sons univ universitaet universite university verlag verlagsbuchhandlung vlg".split()
+)
+# Short and other forms of the words that firms share.
+SYNONYMS = {
+    "bks": "books", "book": "books", "pr": "press", "pub": "publishing", "publ": "publishing", "publisher": "publishing", "publishers": "publishing",
+    "univ": "university", "hist": "historical", "soc": "society", "edic": "editions", "edicoes": "editions", "edition": "editions", "son": "sons",
+    "vlg": "verlag", "verlagsbuchhandlung": "verlag",
+}
 # Titles and roles beside a person's name.
 TITLES = frozenset("dr mr mrs ms miss prof rev sir editor ed comp compiler trans translator jr sr author".split())
 # Particles of surnames.
@@ -98,6 +109,9 @@ def tokens(form: str) -> list[str]:
 
 
 GIVEN = frozenset(NICKNAMES.values())
+#: Words that count as common in any collection, and their weight where it is not measured.
+KNOWN = FIRM | GIVEN | frozenset(NICKNAMES)
+KNOWN_WEIGHT = 2.5
 
 
 def token_likeness(a: str, b: str, shortened: bool = True) -> float:
@@ -114,8 +128,10 @@ def token_likeness(a: str, b: str, shortened: bool = True) -> float:
         if len(short) == 1:
             return 0.9
         rest = iter(long)
-        if len(short) <= max(4, len(long) // 2) and all(c in rest for c in short):
+        if len(short) <= max(5, len(long) // 2) and len(short) < len(long) - 1 and all(c in rest for c in short):
             return 0.92
+    if len(a) == len(b) == 3 and sorted(a) == sorted(b):
+        return 0.8
     if len(long) >= 4:
         for x, y in ((a, b), (a.replace("rn", "m"), b.replace("rn", "m"))):
             for edits in (0, 1, 2):
@@ -124,6 +140,48 @@ def token_likeness(a: str, b: str, shortened: bool = True) -> float:
     return 0.0
 
 
+class Vocabulary:
+    """The common words of a field: their weights, and what a misspelt one stands for."""
+
+    def __init__(self, measured: dict[str, float]):
+        self.weights = {w: KNOWN_WEIGHT for w in KNOWN} | measured
+        self.by_length: dict[int, list[str]] = {}
+        for w in sorted(self.weights):
+            if len(w) >= 4:
+                self.by_length.setdefault(len(w), []).append(w)
+        self.short = {"".join(sorted(w)): w for w in sorted(self.weights) if len(w) == 3}
+        self.settled: dict[str, str] = {}
+
+    def settle(self, token: str) -> str:
+        """The common word that a token misspells by one edit, two in long words, in its usual form."""
+        found = self.settled.get(token)
+        if found is None:
+            if len(self.settled) >= 200_000:
+                self.settled.clear()
+            found = token if token in self.weights or token in IDLE else self._common(token)
+            found = self.settled[token] = SYNONYMS.get(found, found)
+        return found
+
+    def _common(self, token: str) -> str:
+        if len(token) < 4:
+            return self.short.get("".join(sorted(token)), token)
+        most = 2 if len(token) >= 9 else 1
+        near = [
+            (n, self.weights[w], w) for size in range(len(token) - most, len(token) + most + 1) for w in self.by_length.get(size, ())
+            for n in range(1, most + 1) if within_edits(token, w, n)
+        ]
+        return min(near)[2] if near else token
+
+    def tokens(self, form: str) -> list[str]:
+        return [self.settle(t) for t in tokens(form)]
+
+    def core(self, form: str) -> str:
+        """The tokens that are not common, sorted; all of them where there is no other."""
+        every = self.tokens(form)
+        found = sorted({t for t in every if t not in self.weights and t not in IDLE and len(t) > 2})
+        return " ".join(found or sorted(set(every)))
+
+
 def monge_elkan(a: list[str], b: list[str], weights: dict[str, float]) -> float:
     """Weighted Monge-Elkan similarity, the better of both directions; idle words are skipped.
 
@@ -229,11 +287,6 @@ def common_tokens(spellings: DataFrame) -> dict[str, dict[str, float]]:
     return out
 
 
-def core_of(form: str, common: dict[str, float]) -> str:
-    found = sorted({t for t in tokens(form) if t not in common and t not in IDLE and len(t) > 2})
-    return " ".join(found or sorted(set(tokens(form))))
-
-
 def similar_cores(cores: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
     """``field_name, core_a, core_b`` with ``core_a < core_b``: candidate pairs of distinct cores."""
     n_bands = bands()
@@ -288,10 +341,18 @@ def links(spellings: DataFrame, most_in_core: int = MOST_IN_CORE) -> DataFrame:
     common = common_tokens(spellings)
     shared = spellings.sparkSession.sparkContext.broadcast(common)
 
+    def vocabularies(batch: pd.DataFrame, known: dict[str, Vocabulary]) -> list[Vocabulary]:
+        for n in batch["field_name"].unique():
+            if n not in known:
+                known[n] = Vocabulary(shared.value.get(n, {}))
+        return [known[n] for n in batch["field_name"]]
+
     def with_core(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Vocabulary] = {}
         for batch in batches:
-            core = [core_of(f, shared.value.get(n, {})) for n, f in zip(batch["field_name"], batch["form"])]
-            letters = [sorted({c for t in tokens(f) for c in NICKNAMES.get(t, t)[:2] + t[:2]}) for f in batch["form"]]
+            words = vocabularies(batch, known)
+            core = [v.core(f) for v, f in zip(words, batch["form"])]
+            letters = [sorted({c for t in tokens(f) for c in NICKNAMES.get(v.settle(t), t)[:2] + t[:2]}) for v, f in zip(words, batch["form"])]
             yield batch.assign(core=core, letters=letters)
 
     schema = "field_name string, key string, form string, core string, letters array<string>"
@@ -319,10 +380,12 @@ def links(spellings: DataFrame, most_in_core: int = MOST_IN_CORE) -> DataFrame:
     met = met.where("key_a <> key_b and (core_a <> core_b or key_a < key_b)").select("field_name", "key_a", "key_b", "form_a", "form_b")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Vocabulary] = {}
         for batch in batches:
             rows = []
-            for name, ka, kb, fa, fb in zip(*(batch[c] for c in ("field_name", "key_a", "key_b", "form_a", "form_b"))):
-                likeness = monge_elkan(tokens(fa), tokens(fb), shared.value.get(name, {}))
+            columns = (batch[c] for c in ("field_name", "key_a", "key_b", "form_a", "form_b"))
+            for words, name, ka, kb, fa, fb in zip(vocabularies(batch, known), *columns):
+                likeness = monge_elkan(words.tokens(fa), words.tokens(fb), words.weights)
                 if likeness >= ALIKE and (name != "first_author" or same_person(fa, fb)):
                     rows.append((name, min(ka, kb), max(ka, kb), likeness))
             yield pd.DataFrame(rows, columns=["field_name", "key_a", "key_b", "likeness"])
