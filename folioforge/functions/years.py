@@ -81,6 +81,11 @@ def publication_year(sources: list[tuple[str, Column]]) -> tuple[Column, Column]
     return F.coalesce(*[y for _, y in sources]), chosen
 
 
+def legacy_year(year: Column, publishers: Column) -> Column:
+    """The older rule: the least year of either, nulls ignored."""
+    return F.least(least_year(year), least_year(publishers))
+
+
 def birth_year(c: Column) -> Column:
     """First four digits anywhere, as text."""
     return F.nullif(F.regexp_extract(c, r"\d{4}", 0), F.lit(""))

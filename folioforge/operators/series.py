@@ -109,3 +109,8 @@ def first_occurrence(df: DataFrame, keys: list[str], order: str) -> DataFrame:
         known = known.where(F.col(k).isNotNull())
     group = F.min(F.when(F.col("city_group").isNotNull(), F.struct(F.col(order), F.col("city_group"))))["city_group"]
     return known.groupBy(*keys).agg(F.min("year_min").alias("year_min"), group.alias("city_group"))
+
+
+def marker_size(n: Column, largest: Column, smallest_size: float = 4.0, largest_size: float = 400.0) -> Column:
+    """Marker sizes that grow with the root of a count."""
+    return smallest_size + (largest_size - smallest_size) * F.try_divide(F.sqrt(n), F.sqrt(largest))

@@ -11,6 +11,7 @@ from folioforge.functions import years as Y
 from folioforge.session import table
 
 RANGE = C.ClassRange("PS", 3000, 3599)
+SIGNAL = "uuf"
 COMPOUNDS = [n.lower() for n in ("Vickaracres and Keltunholm", "Vuthânbury and Trindizholm")]
 
 
@@ -110,6 +111,39 @@ def hierarchy_752(spark, sf_dir):
     return rows.where("lines is not null").select("rec_id", F.posexplode("lines").alias("pos", "line"))
 
 
+def cities_752(spark, sf_dir):
+    """The city of each place hierarchy of a record."""
+    return _records(spark, sf_dir).select("rec_id", F.posexplode(T.last_subfields(F.col("place_hierarchy_752"), "d")).alias("pos", "city"))
+
+
+def place_signals(spark, sf_dir):
+    """Whether a code occurs among the 044 codes or is the 008 place, and whether a 752 names the city."""
+    codes = F.transform(F.coalesce("country_codes_044", F.array().cast("array<string>")), lambda c: F.lower(T.strip_ws(c)))
+    coded = F.coalesce(F.array_contains(codes, SIGNAL), F.lit(False)) | F.coalesce(F.trim(Y.place_code_008(F.col("field_008"))) == SIGNAL, F.lit(False))
+    cities = T.last_subfields(F.col("place_hierarchy_752"), "d")
+    return _records(spark, sf_dir).select("rec_id", coded.alias("coded"), (F.size(cities) > 0).alias("has_city"), F.coalesce(F.array_contains(F.transform(cities, lambda c: T.strip_ws(c)), "Vorham"), F.lit(False)).alias("in_city"))
+
+
+def signal_counts(spark, sf_dir):
+    """Records by signal: a cross table."""
+    return place_signals(spark, sf_dir).groupBy("coded", "has_city", "in_city").agg(F.count(F.lit(1)).alias("records"))
+
+
+def signal_examples(spark, sf_dir):
+    """The first ten records whose signals disagree, a report."""
+    return place_signals(spark, sf_dir).where("coded and has_city and not in_city").orderBy("rec_id").limit(10).select("rec_id")
+
+
+def legacy_years(spark, sf_dir):
+    return _records(spark, sf_dir).select("rec_id", Y.legacy_year(F.col("year"), F.col("publishers")).alias("year"))
+
+
+def target_places(spark, sf_dir):
+    """Distinct places, lightly cleaned, of the records whose first PS number is in the target range."""
+    rows = _records(spark, sf_dir).where(C.is_target(F.col("classifications"))).select(F.explode("places").alias("p"))
+    return rows.select(T.basic_clean(F.col("p")).alias("place")).where("place is not null").distinct()
+
+
 def birth_years(spark, sf_dir):
     return _records(spark, sf_dir).select("rec_id", Y.birth_year(F.col("first_author_dates")).alias("birth_year"))
 
@@ -148,13 +182,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_text, basic_clean, match_keys, qualifiers, lccn_keys, city_labels, canonical_places, distinct_places, split_places, year_extract, year_evidence,
-        fields_008, country_names, hierarchy_752, birth_years, headings, class_match, class_scope, class_totals,
+        fields_008, country_names, hierarchy_752, cities_752, place_signals, signal_counts, signal_examples, legacy_years, target_places, birth_years, headings, class_match, class_scope, class_totals,
     )
 }
 
 _CLEAN = "trim(regexp_replace(lower(strip_accents({0})), '[^\\p{{L}}]+', ' ', 'g'))"
-_STRIP = "regexp_replace({0}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')"
-_ONE_SPACE = "regexp_replace(title, '[\\s\\x{a0}]+', ' ', 'g')"
+_STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_ONE_SPACE = "regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')"
 # RE2 has no look-around: digit runs are taken whole and kept where four long.
 _YEAR = """CASE
   WHEN length(regexp_extract({0}, '(?i)\\bi\\.?\\s*e\\.?\\s*[,\\s]*(\\d{{4,}})', 1)) = 4
@@ -182,6 +216,13 @@ _DIG = "TRY_CAST(nullif(regexp_extract({0}, '^([A-Z]+)(\\d+)?', 2), '') AS BIGIN
 _C = _STRIP.format("class")
 _IN = f"coalesce({_P} = 'PS' AND {_DIG} BETWEEN 3000 AND 3599, false)"
 
+_CITIES = """WITH o AS (SELECT rec_id, unnest(place_hierarchy_752) AS o, generate_subscripts(place_hierarchy_752, 1) AS i FROM marc_records),
+s AS (SELECT rec_id, i, unnest(o.subfields) AS s, generate_subscripts(o.subfields, 1) AS j FROM o WHERE o IS NOT NULL),
+d AS (SELECT rec_id, i, arg_max(s.text, j) AS city FROM s WHERE s.code = 'd' AND trim(s.text) <> '' GROUP BY 1, 2)"""
+_SIGNALS = f"""{_CITIES}, c AS (SELECT rec_id, list(trim(city)) AS cities FROM d GROUP BY 1)
+SELECT rec_id, coalesce(list_contains(list_transform(coalesce(country_codes_044, []), lambda x: lower(trim(x))), '{SIGNAL}'), false) OR coalesce(length(field_008) = 40 AND trim(field_008[16:18]) = '{SIGNAL}', false) AS coded,
+  cities IS NOT NULL AS has_city, coalesce(list_contains(cities, 'Vorham'), false) AS in_city FROM marc_records LEFT JOIN c USING (rec_id)"""
+
 SQL = {
     "clean_text": f"SELECT rec_id, {_CLEAN.format('title')} AS title, {_CLEAN.format('subtitle')} AS subtitle FROM marc_records",
     "basic_clean": f"SELECT rec_id, nullif(lower({_STRIP.format(_ONE_SPACE)}), '') AS title FROM marc_records",
@@ -221,6 +262,14 @@ LEFT JOIN marc_country_codes ON trim(code) = lower(trim(c))""",
 s AS (SELECT rec_id, i, unnest(o.subfields) AS s, generate_subscripts(o.subfields, 1) AS j FROM o WHERE o IS NOT NULL),
 l AS (SELECT rec_id, i, string_agg(trim(s.text), ', ' ORDER BY s.code, j) AS line FROM s WHERE s.code IN ('a', 'b', 'c', 'd', 'e') AND trim(s.text) <> '' GROUP BY 1, 2)
 SELECT rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY i) - 1 AS INT) AS pos, line FROM l""",
+    "cities_752": f"{_CITIES} SELECT rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY i) - 1 AS INT) AS pos, city FROM d",
+    "place_signals": _SIGNALS,
+    "signal_counts": f"SELECT coded, has_city, in_city, count(*) AS records FROM ({_SIGNALS}) GROUP BY 1, 2, 3",
+    "signal_examples": f"SELECT rec_id FROM ({_SIGNALS}) WHERE coded AND has_city AND NOT in_city ORDER BY rec_id LIMIT 10",
+    "legacy_years": f"SELECT rec_id, least({_least('year')}, {_least('publishers')}) AS year FROM marc_records",
+    "target_places": f"""SELECT DISTINCT place FROM (SELECT nullif(lower({_STRIP.format(_ONE_SPACE.replace('title', 'p'))}), '') AS place FROM (SELECT unnest(places) AS p FROM marc_records WHERE
+  CASE WHEN len(list_filter(coalesce(classifications, []), lambda c: {_P.format('c')} = 'PS')) = 0 THEN false
+    ELSE coalesce({_DIG.format("list_filter(classifications, lambda c: " + _P.format('c') + " = 'PS')[1]")} < 8000, true) END)) WHERE place IS NOT NULL""",
     "birth_years": "SELECT rec_id, nullif(regexp_extract(first_author_dates, '\\d{4}'), '') AS birth_year FROM marc_records",
     "headings": """SELECT rec_id, array_to_string(list_transform(subject_genre_fields, lambda o: o.tag || ': ' || coalesce(array_to_string(list_transform(o.subfields, lambda s: s.text), ' -- '), '')), '; ') AS headings
 FROM marc_records WHERE len(subject_genre_fields) > 0 AND len(list_filter(subject_genre_fields, lambda o: o IS NULL OR o.subfields IS NULL OR o.tag IS NULL OR len(list_filter(o.subfields, lambda s: s IS NULL OR s.text IS NULL)) > 0)) = 0""",

@@ -103,6 +103,26 @@ def coordinate_counts(spark, sf_dir):
     return _coded(spark, sf_dir).where(inside).groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("city_group").eqNullSafe(CITY)).alias("in_city"))
 
 
+def marker_sizes(spark, sf_dir):
+    """Marker sizes of the coordinates of a map, comparable over all of them."""
+    from folioforge.operators.series import marker_size
+
+    counts = coordinate_counts(spark, sf_dir)
+    largest = counts.agg(F.max("n").alias("largest"))
+    return counts.crossJoin(F.broadcast(largest)).select("lat", "lon", F.round(marker_size(F.col("n"), F.col("largest")), 6).alias("size"))
+
+
+def peak_split(spark, sf_dir):
+    """Rows at each coordinate up to and after the city's peak year."""
+    from folioforge.plans.series import peak_year
+
+    peak = peak_year(spark, sf_dir).select(F.col("year_min").alias("peak"))
+    years = _rows(spark, sf_dir).where("year_min between 1900 and 2010").select("obs_id", "year_min")
+    rows = _coded(spark, sf_dir).drop("year_min").where("lat is not null").join(years, "obs_id").join(F.broadcast(peak), how="cross")
+    part = F.when(F.col("year_min") <= F.col("peak"), "to peak").otherwise("after").alias("part")
+    return rows.groupBy(part, "lat", "lon").agg(F.count(F.lit(1)).alias("n"))
+
+
 def coverage_report(spark, sf_dir):
     """Groups and rows that a geocode covers, with and without an 008 place."""
     groups = P.geo_groups(_keyed(spark, sf_dir))
@@ -217,7 +237,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         geo_key_policy, geo_groups, places_per_record, dedup_rows, gazetteer_index, gazetteer_match, direct_geocode, residual_keys, coalesce_join, source_counts,
-        coordinate_counts, coverage_report, agreement_matrix, group_counts, repeated_pct, lccn_join, semi_several, place_hints, scope_names, answer_scopes,
+        coordinate_counts, marker_sizes, peak_split, coverage_report, agreement_matrix, group_counts, repeated_pct, lccn_join, semi_several, place_hints, scope_names, answer_scopes,
         seeded_sample, top_groups, prefix_cube, special_totals,
     )
 }
@@ -261,9 +281,11 @@ coded AS (
     CASE WHEN m AND geocode_policy = '008' THEN '008' WHEN m THEN 'second' END AS geocode_policy_used, CASE WHEN m AND geocode_policy = '008' THEN 'direct' WHEN m THEN 'second' ELSE 'unmatched' END AS geocode_source
   FROM (SELECT r.obs_id, geo_key, r.city_group, c.*, coalesce(geonames_matched, false) AND (geocode_policy = '008' OR geocode_policy IS NULL) AS m FROM rows_ r LEFT JOIN codes c USING (geo_key))
 )"""
+_BOXED = f"boxed AS (SELECT lat, lon, count(*) AS n FROM coded WHERE lon BETWEEN {BOX[0]} AND {BOX[1]} AND lat BETWEEN {BOX[2]} AND {BOX[3]} GROUP BY 1, 2)"
 _LCCN = """CASE WHEN regexp_matches(lower({0}), '\\d') THEN regexp_extract(lower({0}), '([a-z]*)\\s*(\\d+)', 1)
   || CASE WHEN regexp_full_match(regexp_extract(lower({0}), '([a-z]*)\\s*(\\d+)', 2), '0+') THEN '0' ELSE ltrim(regexp_extract(lower({0}), '([a-z]*)\\s*(\\d+)', 2), '0') END END"""
-_KEY = "lower(trim(regexp_replace(regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g')))"
+# DuckDB has no compatibility form; the wide punctuation of the data stands for it.
+_KEY = "lower(trim(regexp_replace(regexp_replace(strip_accents(translate({0}, '：；，．（）［］？', ':;,.()[]?')), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g')))"
 _BARE = "regexp_replace({0}, '(?i)\\s*\\(\\s*(state|province)\\s*\\)\\s*$', '')"
 _SCOPE = f"""nat AS (SELECT {_KEY.format('place_name_008')} AS k, min(geonames_country_code) AS national FROM marc_place_008_geonames WHERE geonames_country_code IS NOT NULL AND geonames_admin1_code IS NULL GROUP BY 1),
 reg AS (SELECT {_KEY.format(_BARE.format('place_name_008'))} AS k, count(DISTINCT geonames_country_code) AS n, min(geonames_country_code) AS c, min(geonames_admin1_code) AS a
@@ -290,6 +312,12 @@ SELECT geo_key, geocode_policy, CASE WHEN swap THEN cid ELSE geonameid END AS ge
     "coalesce_join": f"WITH {_CODED} SELECT obs_id, geo_key, lat, lon, country_code, geocode_policy_used, geocode_source FROM coded",
     "source_counts": f"WITH {_CODED} SELECT geocode_source, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM coded), 6) AS percent FROM coded GROUP BY 1",
     "coordinate_counts": f"WITH {_CODED} SELECT lat, lon, count(*) AS n, bool_or(city_group IS NOT DISTINCT FROM '{CITY}') AS in_city FROM coded WHERE lon BETWEEN {BOX[0]} AND {BOX[1]} AND lat BETWEEN {BOX[2]} AND {BOX[3]} GROUP BY 1, 2",
+    "marker_sizes": f"WITH {_CODED}, {_BOXED} SELECT lat, lon, round(4.0 + 396.0 * sqrt(n) / (SELECT sqrt(max(n)) FROM boxed), 6) AS size FROM boxed",
+    "peak_split": f"""WITH {_CODED}, y AS (SELECT year_min, round(100.0 * count(*) FILTER (city_group IS NOT DISTINCT FROM '{CITY}') / count(*), 6) AS share FROM imprint_places
+  WHERE year_min BETWEEN 1900 AND 2010 AND city_group IS DISTINCT FROM '{NO_PLACE}' GROUP BY 1),
+p AS (SELECT year_min AS peak FROM y ORDER BY share DESC, year_min LIMIT 1)
+SELECT CASE WHEN i.year_min <= (SELECT peak FROM p) THEN 'to peak' ELSE 'after' END AS part, lat, lon, count(*) AS n
+FROM coded JOIN imprint_places i USING (obs_id) WHERE lat IS NOT NULL AND i.year_min BETWEEN 1900 AND 2010 GROUP BY 1, 2, 3""",
     "coverage_report": f"""WITH {_GROUPS}, {_CODES} SELECT place_name_008 IS NOT NULL AS has_008, count(*) AS groups, sum(n_records)::BIGINT AS records, count(*) FILTER (geonames_matched) AS groups_hit,
   coalesce(sum(n_records) FILTER (geonames_matched), 0)::BIGINT AS records_hit, count(*) FILTER (geocode_reason = 'ambiguous') AS ambiguous
 FROM groups LEFT JOIN (SELECT geo_key, geonames_matched, geocode_reason FROM codes) USING (geo_key) GROUP BY 1""",
