@@ -16,7 +16,7 @@ def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFram
     Counted with map-side combination, so a hot key sends one row per map task.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
+    total = df.agg(F.count(F.lit(1)).alias("__total"))  # one row
     return counts.crossJoin(F.broadcast(total)).where(F.col("__n") > F.col("__total") * share).select(*on)
 
 
@@ -27,13 +27,15 @@ def salted_join(
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.  Only the few rows of
     ``right`` with a hot key are copied, once a salt.  Null keys match nothing, as in SQL.
+    The salt is a hash of the row, so a task that runs again sends every row where it went
+    before; rows of ``left`` should differ in some column, such as an identifier.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     hot = hot_keys(left, on, share).withColumn("__hot", F.lit(True))
     spread = (
         left.join(F.broadcast(hot), on, "left")
-        .withColumn("__salt", F.when(F.col("__hot"), (F.rand(7) * salts).cast("int")).otherwise(F.lit(0)))
+        .withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
         .drop("__hot")
     )
     copied = (
