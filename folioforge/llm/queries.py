@@ -70,7 +70,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Cosine from which an entry is a candidate, and its lead over the next.
 PLACE_THRESHOLD, PLACE_MARGIN = 0.15, 0.03
 # Abbreviations of words in place names.
-PLACE_WORDS = {"ft": "fort", "st": "saint", "ste": "sainte", "mt": "mount", "pt": "port", "hts": "heights", "spgs": "springs", "nr": "near"}
+PLACE_WORDS = {"ft": "fort", "st": "saint", "mt": "mount", "pt": "port", "hts": "heights", "spgs": "springs"}
 
 
 def gazetteer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
