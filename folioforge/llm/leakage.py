@@ -7,8 +7,8 @@
 3. Seeds of one item on neighbouring diagonals that cover at least ``COVERED`` of its words
    are aligned word by word with the text around them.  Any passage of ``WORDS`` words with
    at most one edit in ``PER_EDIT`` covers as many, so nothing is lost.
-4. A passage is a stretch of the alignment that begins and ends on equal words, spans at
-   least ``WORDS`` words of the item and has at most one edit for ``PER_EDIT`` of them.
+4. A passage is a stretch of the alignment that begins and ends on equal or changed words,
+   spans at least ``WORDS`` words of the item and has at most one edit for ``PER_EDIT``.
 
 Case, accents, punctuation and spacing do not matter.  Null and empty texts hold nothing; an
 item shorter than ``WORDS`` words cannot be found; repeated rows are each reported.
@@ -173,12 +173,18 @@ def longest_passage(steps: list[tuple[int, int, bool]], text_at: int, item_at: i
         x, y, e = at[-1]
         at.append((x + t, y + p, e + (not equal)))
     equal = [s[2] for s in steps[1:]]
+    # only where no stretch between equal words is long enough may it end on changed ones
+    return _stretch(at, equal) or _stretch(at, [t == p == 1 for t, p, _ in steps[1:]])
+
+
+def _stretch(at: list[tuple[int, int, int]], ends: list[bool]):
+    """The longest clean stretch whose first and last steps are among ``ends``."""
     best = None
-    for i in range(len(equal)):
-        if not equal[i]:
+    for i in range(len(ends)):
+        if not ends[i]:
             continue
-        for j in range(len(equal), i, -1):
-            if not equal[j - 1]:
+        for j in range(len(ends), i, -1):
+            if not ends[j - 1]:
                 continue
             length, edits = at[j][1] - at[i][1], at[j][2] - at[i][2]
             if length < WORDS or best and length <= best[3] - best[2]:
