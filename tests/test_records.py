@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.classes import ClassRange
 from folioforge.operators import classify as K
+from folioforge.plans import fields
 from folioforge.plans.clean import clean_records
 from folioforge.sources import marcxml, tables
 from folioforge.streaming import cube
@@ -56,6 +57,14 @@ def test_scope_and_missing_columns(spark):
         K.classify(df.drop("field_008"))
 
 
+def test_headings_keep_records_with_null_parts(spark, tmp_path):
+    parts = [None, ("650", "0", None), ("651", "0", [None, ("a", "A"), ("x", None), ("x", "B")]), (None, "0", [("a", "C")]), ("655", "7", [])]
+    rows = [(1, parts), (2, [None]), (3, []), (4, None), (5, [("600", "0", [("a", "D"), ("x", "E")])])]
+    spark.createDataFrame(rows, f"rec_id int, subject_genre_fields {OCC}").write.parquet(str(tmp_path / "marc_records.parquet"))
+    got = {r.rec_id: r.headings for r in fields.headings(spark, str(tmp_path)).collect()}
+    assert got == {1: "650: ; 651: A -- B; : C; 655: ", 2: "", 5: "600: D -- E"}
+
+
 def test_cleaning(spark):
     schema = f"rec_id int, lccn string, source_record_id string, classifications array<string>, year array<string>, publishers array<string>, places array<string>, imprint_fields {OCC}, field_008 string, record int"
     rows = [
