@@ -10,6 +10,7 @@ from folioforge.functions import text as T
 from folioforge.functions import years as Y
 from folioforge.operators.classify import classified_records
 from folioforge.operators.places import ensure_columns, keep_first
+from folioforge.plans.fields import compounds as compound_names
 from folioforge.session import table
 
 RANGE = C.ClassRange("PS")
@@ -33,7 +34,7 @@ def clean_records(
     rows = rows.withColumns({"year_min": year, "year_source": source, "place_code_008": Y.place_code_008(F.col("field_008"))})
     rows = rows.where("class_digits is not null and year_min is not null")
     record = F.coalesce(F.nullif(T.strip_ws(F.col("lccn")), F.lit("")), F.col("source_record_id"), F.concat(F.lit("row:"), F.col(order).cast("string")))
-    places = F.posexplode(T.expand_places(F.col("places"))).alias("place_pos", "place")
+    places = F.posexplode(T.expand_places(F.col("places"), compounds)).alias("place_pos", "place")
     publisher = T.clean_string(F.get(F.col("publishers"), F.lit(0)))
     flat = rows.select(
         F.col(order), "lccn", record.alias("record"), "target_class", "class_digits", "year_min", "year_source", F.trim("place_code_008").alias("place_code_008"),
@@ -50,7 +51,7 @@ def clean_records(
 
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants = [r.variant for r in table(spark, sf_dir, "city_variants").limit(1000).collect()]
-    rows = clean_records(table(spark, sf_dir, "marc_records"), RANGE, variants, CITY, table(spark, sf_dir, "marc_country_codes"))
+    rows = clean_records(table(spark, sf_dir, "marc_records"), RANGE, variants, CITY, table(spark, sf_dir, "marc_country_codes"), compounds=compound_names(spark, sf_dir))
     return rows.select("rec_id", "record", "target_class", "class_digits", "year_min", "year_source", "place_name_008", "place_pos", "place", "city_group", "decade")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import classes as C
 from folioforge.functions import text as T
 from folioforge.functions import years as Y
+from folioforge.plans.records import place_compounds
 from folioforge.session import table
 
 RANGE = C.ClassRange("PS", 3000, 3599)
@@ -68,9 +71,15 @@ def distinct_places(spark, sf_dir):
     return _places(spark, sf_dir).where("trim(places_clean) <> ''").select("places_clean").distinct()
 
 
+def compounds(spark, sf_dir) -> list[str]:
+    """Place names that hold a conjunction: the fixed ones and those of the gazetteer and the 008 places."""
+    delivered = [n.split(" (")[0].lower() for n in place_compounds(spark, sf_dir)["places"]]
+    return list(dict.fromkeys(T.COMPOUND_NAMES + COMPOUNDS + [n for n in delivered if re.search(r"\s(and|&)\s", n)]))
+
+
 def split_places(spark, sf_dir):
     """Each place of the strings of a record, in order."""
-    rows = _records(spark, sf_dir).select("rec_id", F.posexplode(T.expand_places(F.col("places"))).alias("pos", "place"))
+    rows = _records(spark, sf_dir).select("rec_id", F.posexplode(T.expand_places(F.col("places"), compounds(spark, sf_dir))).alias("pos", "place"))
     return rows
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.classes import ClassRange
 from folioforge.operators import classify as K
 from folioforge.plans import fields
-from folioforge.plans.clean import clean_records
+from folioforge.plans.clean import clean_records, clean_table
 from folioforge.sources import marcxml, tables
 from folioforge.streaming import cube
 
@@ -130,6 +130,19 @@ def test_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "ans")).count() == 3
 
 
+def test_given_compound_names_are_not_cut(spark, tmp_path):
+    places = ["VICKARACRES & Keltunholm :", "Vuthânbury and Trindizholm", "Guxvale and Trinisos", "Foo  hill & BAR", "Trinidad and Tobago and Rome"]
+    df = spark.createDataFrame([(1, None, ["PS1"], ["1990"], None, places)], "rec_id int, lccn string, classifications array<string>, year array<string>, publishers array<string>, places array<string>")
+    assert sorted(r.place for r in clean_records(df, ClassRange("PS"), [], "X", compounds=["guxvale and trinisos"]).collect()) == ["BAR", "Foo  hill", "Guxvale and Trinisos", "Keltunholm :", "Rome", "Tobago", "Trindizholm", "Trinidad", "VICKARACRES", "Vuthânbury"]
+    df.write.parquet(str(tmp_path / "marc_records.parquet"))
+    tables_ = {"gazetteer": ("name", "Foo Hill and Bar"), "marc_place_008_geonames": ("place_name_008", "Guxvale and Trinisos (State)"), "city_variants": ("variant", "x"), "marc_country_codes": ("code, name", "x")}
+    for name, (column, value) in tables_.items():
+        spark.createDataFrame([(value,) * len(column.split(", "))], column.split(", ")).write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = [*places[:4], "Trinidad and Tobago", "Rome"]
+    assert [r.place for r in fields.split_places(spark, str(tmp_path)).orderBy("pos").collect()] == want
+    assert [r.place for r in clean_table(spark, str(tmp_path)).orderBy("place_pos").collect()] == want
+
+
 def test_streaming_cube(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1990, "X"), ("a", 1990, "Y"), ("b", 1991, None)], "key string, year_min int, city_group string")
     rows.write.parquet(str(tmp_path / "in"))
