@@ -5,8 +5,8 @@ All work is on distinct spellings, apart from the last join with the rows.
 1. A spelling's key drops case, accents, punctuation, spacing and a trailing year; its core
    is its tokens that are not common in the collection (shares counted over all spellings).
 2. Distinct cores are compared: MinHash bands over padded q-grams, the number of bands chosen
-   from the collision curve.  Buckets above ``MOST_IN_BUCKET`` are not expanded; their members
-   go through an exact prefix-filter join on q-grams instead.
+   from the collision curve; all that collide go on.  Members of buckets above
+   ``MOST_IN_BUCKET`` go through an exact prefix-filter join on q-grams as well.
 3. Spellings of one core, or of cores whose tokens agree, are verified by Monge-Elkan
    similarity of tokens, where initials, abbreviations, nicknames and typos count as close.
    In a core with more than ``MOST_IN_CORE`` spellings only those are paired that share one
@@ -307,8 +307,7 @@ def similar_cores(cores: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> Dat
     banded = cut_lineage(spread(cores).mapInPandas(run, "field_name string, core string, band int, bucket bigint"))
     on = ["field_name", "band", "bucket"]
     sizes = banded.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    small = banded.join(sizes.where(F.col("n") <= most_in_bucket), on).select(*on, "core")
-    near = small.alias("a").join(small.alias("b"), on).where("a.core < b.core").select("field_name", F.col("a.core").alias("core_a"), F.col("b.core").alias("core_b"))
+    near = banded.alias("a").join(banded.alias("b"), on).where("a.core < b.core").select("field_name", F.col("a.core").alias("core_a"), F.col("b.core").alias("core_b"))
     crowded = cut_lineage(banded.join(sizes.where(F.col("n") > most_in_bucket), on, "left_semi").select("field_name", "core").distinct())
     return near.distinct() if crowded.isEmpty() else near.unionByName(prefix_join(crowded)).distinct()
 

@@ -155,3 +155,11 @@ def test_prefix_join_matches_brute_force(spark):
     got = {(r.core_a, r.core_b) for r in N.prefix_join(spark.createDataFrame([("f", c) for c in cores], "field_name string, core string")).collect()}
     alike = lambda a, b: len(N.qgrams(a) & N.qgrams(b)) / len(N.qgrams(a) | N.qgrams(b)) >= N.SIMILAR
     assert got == {(a, b) for a in cores for b in cores if a < b and alike(a, b)}
+
+
+def test_crowded_buckets_keep_their_collisions(spark):
+    cores = [f"ab{c}de" for c in "fghijklm"] + [f"ab{c}ed" for c in "fghijklm"]
+    df = spark.createDataFrame([("f", c) for c in cores], "field_name string, core string")
+    pairs = lambda most: {tuple(r) for r in N.similar_cores(df, most_in_bucket=most).collect()}
+    loose = {(f, a, b) for f, a, b in pairs(1000) if len(N.qgrams(a) & N.qgrams(b)) / len(N.qgrams(a) | N.qgrams(b)) < N.SIMILAR}
+    assert loose and pairs(1000) <= pairs(1)
