@@ -6,7 +6,8 @@ All work is on distinct spellings, apart from the last join with the rows.
    is its tokens that are not common in the collection (shares counted over all spellings).
 2. Distinct cores are compared: MinHash bands over padded q-grams, the number of bands chosen
    from the collision curve; all that collide go on.  Members of buckets above
-   ``MOST_IN_BUCKET`` go through an exact prefix-filter join on q-grams as well.
+   ``MOST_IN_BUCKET`` go through an exact prefix-filter join on q-grams as well.  Cores that
+   differ in one token by accepted edits also meet exactly, on the token without some letters.
 3. Spellings of one core, or of cores whose tokens agree, are verified by Monge-Elkan
    similarity of tokens, where initials, abbreviations, nicknames and typos count as close.
    In a core with more than ``MOST_IN_CORE`` spellings only those are paired that share one
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -287,6 +289,48 @@ def common_tokens(spellings: DataFrame) -> dict[str, dict[str, float]]:
     return out
 
 
+def shortened(token: str) -> set[str]:
+    """A token without up to as many letters as ``token_likeness`` allows edits; tokens that near share one."""
+    out: set[str] = set()
+    for t in {token, token.replace("rn", "m")}:
+        level = {t}
+        out |= level
+        # two edits are allowed from ten letters of the longer token, so the shorter has eight
+        for _ in range(2 if len(token) >= 8 else 1):
+            level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
+            out |= level
+    return out
+
+
+def edited_cores(cores: DataFrame) -> DataFrame:
+    """``field_name, core_a, core_b`` with ``core_a < core_b``: all pairs that differ in one token by edits that are accepted.
+
+    Exact: each core meets others on a token without some letters beside its remaining tokens.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, core in zip(batch["field_name"], batch["core"]):
+                words = core.split()
+                found = {(" ".join(words[:i] + words[i + 1 :]), s) for i, t in enumerate(words) for s in shortened(t)}
+                rows += [(name, core, _hash("|".join(x)) - (1 << 63)) for x in found]
+            yield pd.DataFrame(rows, columns=["field_name", "core", "bucket"])
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch["core_a"], batch["core_b"]):
+                one, two = list((Counter(a.split()) - Counter(b.split())).elements()), list((Counter(b.split()) - Counter(a.split())).elements())
+                keep.append(len(one) == len(two) == 1 and token_likeness(one[0], two[0], False) > 0)
+            yield batch[keep]
+
+    keyed = cut_lineage(spread(cores).mapInPandas(run, "field_name string, core string, bucket bigint"))
+    on = ["field_name", "bucket"]
+    met = keyed.alias("a").join(keyed.alias("b"), on).where("a.core < b.core").select("field_name", F.col("a.core").alias("core_a"), F.col("b.core").alias("core_b")).distinct()
+    return met.mapInPandas(near, "field_name string, core_a string, core_b string")
+
+
 def similar_cores(cores: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
     """``field_name, core_a, core_b`` with ``core_a < core_b``: candidate pairs of distinct cores."""
     n_bands = bands()
@@ -363,7 +407,8 @@ def links(spellings: DataFrame, most_in_core: int = MOST_IN_CORE) -> DataFrame:
             yield batch[keep]
 
     cores = cored.select("field_name", "core").distinct()
-    pairs = spread(similar_cores(cores)).mapInPandas(agreeing, "field_name string, core_a string, core_b string")
+    candidates = similar_cores(cores).unionByName(edited_cores(cores)).distinct()
+    pairs = spread(candidates).mapInPandas(agreeing, "field_name string, core_a string, core_b string")
     groups = cores.select("field_name", F.col("core").alias("core_a"), F.col("core").alias("core_b")).unionByName(pairs)
     # small cores meet on one block, crowded ones on the letters of their given names
     sizes = cored.groupBy("field_name", "core").agg((F.count(F.lit(1)) > most_in_core).alias("crowded"))

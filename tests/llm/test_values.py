@@ -163,3 +163,19 @@ def test_crowded_buckets_keep_their_collisions(spark):
     pairs = lambda most: {tuple(r) for r in N.similar_cores(df, most_in_bucket=most).collect()}
     loose = {(f, a, b) for f, a, b in pairs(1000) if len(N.qgrams(a) & N.qgrams(b)) / len(N.qgrams(a) | N.qgrams(b)) < N.SIMILAR}
     assert loose and pairs(1000) <= pairs(1)
+
+
+def test_single_edits_in_short_cores_are_found(spark):
+    rng = random.Random(9)
+    names = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 12))) for _ in range(80)})
+    swap = lambda n, i: n[:i] + n[i + 1] + n[i] + n[i + 2 :]
+    cores = sorted(set(names) | {swap(n, rng.randrange(len(n) - 1)) for n in names} | {"x" + n[1:] for n in names} | {f"zorn {n}" for n in names[:20]} | {f"x{n[1:]} zorn" for n in names[:20]} | {"kornel", "komel"})
+    cores = sorted({" ".join(sorted(c.split())) for c in cores})
+    got = {(r.core_a, r.core_b) for r in N.edited_cores(spark.createDataFrame([("f", c) for c in cores], "field_name string, core string")).collect()}
+    rest = lambda a, b: [t for t in a.split() if t not in b.split()]
+    near = lambda a, b: len(x := rest(a, b)) == 1 == len(y := rest(b, a)) and len(a.split()) == len(b.split()) and N.token_likeness(x[0], y[0], False) > 0
+    assert got == {(a, b) for a in cores for b in cores if a < b and near(a, b)}
+    forms = [(f"{n} press", f"{swap(n, len(n) // 2 - 1)} press") for n in names if len(n) == 7 and swap(n, 2) != n]
+    df = spark.createDataFrame([("publishers", N.spelling_key(f), f) for pair in forms for f in pair], "field_name string, key string, form string")
+    linked = {(r.key_a, r.key_b) for r in N.links(df).collect()}
+    assert len(forms) > 5 and all(tuple(sorted(map(N.spelling_key, p))) in linked for p in forms)
