@@ -11,7 +11,8 @@ All work is on distinct spellings, apart from the last join with the rows.
 3. Spellings of one core, or of cores whose tokens agree, are verified by Monge-Elkan
    similarity of tokens, where initials, abbreviations, nicknames and typos count as close.
    In a core with more than ``MOST_IN_CORE`` spellings only those are paired that share one
-   of the first two letters of a given name, which any single edit leaves intact.
+   of the first two letters of a token, as spelt or as the common word that it misspells;
+   spellings of one core always do.
 4. Star clustering of the verified links: the spelling with the fullest given name and most
    links among its unassigned neighbours becomes a centre and takes its neighbours.
 
@@ -395,7 +396,7 @@ def links(spellings: DataFrame, most_in_core: int = MOST_IN_CORE) -> DataFrame:
         for batch in batches:
             words = vocabularies(batch, known)
             core = [v.core(f) for v, f in zip(words, batch["form"])]
-            letters = [sorted({c for t in tokens(f) for c in NICKNAMES.get(v.settle(t), t)[:2] + t[:2]}) for v, f in zip(words, batch["form"])]
+            letters = [sorted({c for t in tokens(f) for c in NICKNAMES.get(v.settle(t), t)[:2] + v.settle(t)[:2] + t[:2]}) for v, f in zip(words, batch["form"])]
             yield batch.assign(core=core, letters=letters)
 
     schema = "field_name string, key string, form string, core string, letters array<string>"

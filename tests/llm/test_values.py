@@ -179,3 +179,11 @@ def test_single_edits_in_short_cores_are_found(spark):
     df = spark.createDataFrame([("publishers", N.spelling_key(f), f) for pair in forms for f in pair], "field_name string, key string, form string")
     linked = {(r.key_a, r.key_b) for r in N.links(df).collect()}
     assert len(forms) > 5 and all(tuple(sorted(map(N.spelling_key, p))) in linked for p in forms)
+
+
+def test_damaged_common_words_of_one_crowded_core_meet(spark):
+    forms = ["Publishing", "Publishing, 1900", "Xzblishing", "Qwblishing"]
+    rows = [("publishers", f"{N.spelling_key(f)}{i}", f) for i, f in enumerate(forms)]
+    df = spark.createDataFrame(rows, "field_name string, key string, form string")
+    few = {tuple(r)[:3] for r in N.links(df, most_in_core=1).collect()}
+    assert few == {tuple(r)[:3] for r in N.links(df, most_in_core=100).collect()} and len(few) == 6
