@@ -29,6 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.operators.skew import salted_join
+from folioforge.session import cut_lineage
+
+#: Names of a lexicon that are collected and broadcast at once; a larger one is read in blocks of so many.
+MOST_NAMES = 5_000
 MARK = re.compile(r"\(\d{1,3}\)\s*")
 HARD = re.compile(r"\s*(?:;|\||--+|\t|\n|\s/(?=\s))\s*")
 CONJUNCTION = re.compile(r"\s*&\s*|,?\s+and\s+", re.IGNORECASE)
@@ -120,7 +125,8 @@ class Grammar:
     """The parser of one kind of field.
 
     ``conjunctions``: whether ``and`` and ``&`` can separate values.  ``compounds``: names
-    that hold a conjunction themselves; ``regions``: names that follow a place's; both small.
+    that hold a conjunction themselves; ``regions``: names that follow a place's.  What a
+    larger lexicon says of a text is handed to :meth:`parse`.
     """
 
     def __init__(self, conjunctions: bool, compounds: list[str] = (), regions: list[str] = ()):
@@ -134,11 +140,17 @@ class Grammar:
                 if len(pair) == 2 and min(map(len, pair)) > 3 and pair not in pairs:
                     pairs.append(pair)
 
-    def parse(self, text: str | None) -> Parse:
-        """Values in order, as typed; none for null or blank text."""
+    def parse(self, text: str | None, guards=None, known=None) -> Parse:
+        """Values in order, as typed; none for null or blank text.
+
+        ``guards`` and ``known`` add to what the grammar's own names say: see :meth:`guards` and :meth:`known`.
+        """
         if text is None:
             return Parse([])
         body, offsets = plain(text)
+        self.guarded = self.guards(body) | set(() if guards is None else guards)
+        self.local = self.regions | set(() if known is None else known)
+        self.base = 0
         errors: list[str] = []
         at, end = trimmed(body, 0, len(body))
         spans = self._enumerated(body, at, end) or self._sequence(body[at:end], at, errors)
@@ -148,6 +160,17 @@ class Grammar:
                 values.append(body[a:b] if offsets is None else text[offsets[a] : offsets[b - 1] + 1])
         return Parse(values, errors)
 
+    def guards(self, body: str) -> set[int]:
+        """Offsets behind the conjunctions of a plain text that are inside a compound name."""
+        if not self.conjunctions or not self.compounds:
+            return set()
+        return {m.end() for m in CONJUNCTION.finditer(body) if self._compound(body[: m.start()], body[m.end() :])}
+
+    @staticmethod
+    def parts(body: str) -> set[str]:
+        """The parts of a series that could be regions, folded."""
+        return {key(p) for p in body.split(",")} if SERIES_END.search(body) else set()
+
     def _enumerated(self, text: str, at: int, end: int) -> list[tuple[int, int]] | None:
         marks = list(MARK.finditer(text, at, end))
         if len(marks) < 2 or marks[0].start() > at:
@@ -160,6 +183,7 @@ class Grammar:
         values: list[tuple[int, int]] = []
         at, n = 0, len(text)
         after_quote = False
+        outer, self.base = self.base, base
         series = self._series(text)
         while at < n:
             delim = self._delim(text, at, 0, series, after_quote)
@@ -174,6 +198,7 @@ class Grammar:
                 item = self._bare(text, at, series)
             found, at = item
             values.extend(found)
+        self.base = outer
         return [(a + base, b + base) for a, b in values]
 
     def _series(self, text: str) -> bool:
@@ -205,7 +230,9 @@ class Grammar:
         if end < 0 or not self._closed(text, end + 1, series):
             errors.append("unclosed bracket" if end < 0 else "text after bracket")
             return None
-        inside = self._sequence(text[at + 1 : end], at + 1, errors)
+        base = self.base
+        inside = self._sequence(text[at + 1 : end], base + at + 1, errors)
+        inside = [(a - base, b - base) for a, b in inside]
         return [(a, b) for a, b in inside if text[a:b].strip(TRAIL)], end + 1
 
     def _bare(self, text: str, at: int, series: bool):
@@ -233,11 +260,11 @@ class Grammar:
             return None
         if m := CONJUNCTION.match(text, at):
             left, right = text[start:at], text[m.end() :]
-            return None if self._compound(left, right) or not right.strip(TRAIL) or not left.strip(TRAIL) and start else m.end()
+            return None if self.base + m.end() in self.guarded or not right.strip(TRAIL) or not left.strip(TRAIL) and start else m.end()
         if series and (m := COMMA.match(text, at)) and text[m.end() :].strip(TRAIL + '[]"'):
             following = text[m.end() :].split(",")[0].strip()
             # an abbreviation, or a region, belongs to the place before it
-            return None if following.endswith(".") or key(following) in self.regions else m.end()
+            return None if following.endswith(".") or key(following) in self.local else m.end()
         return None
 
     def _compound(self, left: str, right: str) -> bool:
@@ -261,7 +288,7 @@ class Splitter:
     def __init__(self, grammar: Grammar):
         self.grammar, self.memo = grammar, {}
 
-    def __call__(self, text: str | None) -> Parse:
+    def __call__(self, text: str | None, guards=None, known=None) -> Parse:
         if text is None:
             return Parse([])
         found = self.memo.get(text)
@@ -271,35 +298,114 @@ class Splitter:
             if text.isascii() and not SPLITTABLE.search(text):
                 found = Parse([text.strip()] if text.strip(TRAIL + '[]"') else [])
             else:
-                found = self.grammar.parse(text)
+                found = self.grammar.parse(text, guards, known)
             self.memo[text] = found
         return found
 
 
+@dataclass
+class Lexicon:
+    """Names that hold a conjunction and names of regions: lists to broadcast, or tables where they are too many."""
+
+    listed: list[str] = field(default_factory=list)
+    regions: list[str] = field(default_factory=list)
+    names_table: DataFrame | None = None
+    regions_table: DataFrame | None = None
+
+
+def _few(df: DataFrame, most: int) -> list[str] | None:
+    rows = df.limit(most + 1).collect()
+    return None if len(rows) > most else sorted(r[0] for r in rows)
+
+
+def make_lexicon(names: list[DataFrame], regions: DataFrame | None = None, most: int = MOST_NAMES) -> Lexicon:
+    """The lexicon of one-column tables; only names that hold a conjunction are compounds."""
+    found = Lexicon()
+    given = None
+    for df in names:
+        (column,) = df.columns
+        here = df.where(F.col(column).rlike(r"(?i)\s(and|&)\s")).select(F.col(column).alias("name"))
+        given = here if given is None else given.unionByName(here)
+    if given is not None:
+        given = given.distinct()
+        listed = _few(given, most)
+        found.listed, found.names_table = ([], cut_lineage(given)) if listed is None else (listed, None)
+    if regions is not None:
+        (column,) = regions.columns
+        given = regions.where(F.col(column).isNotNull()).select(F.col(column).alias("name")).distinct()
+        listed = _few(given, most)
+        found.regions, found.regions_table = ([], cut_lineage(given)) if listed is None else (listed, None)
+    return found
+
+
+def with_hints(df: DataFrame, column: str, lexicon: Lexicon, most: int = MOST_NAMES) -> DataFrame:
+    """Adds ``guards`` and ``known``: what a lexicon too large to broadcast says of each text, else nulls.
+
+    Its names are read in blocks of about ``most``, each against the distinct texts that
+    hold a conjunction; its regions are joined with the parts of series.
+    """
+    out = df
+    values = df.where(F.col(column).rlike(r"(?i)&|\band\b")).select(F.col(column).alias(column)).distinct()
+    if lexicon.names_table is None:
+        out = out.withColumn("guards", F.lit(None).cast("array<int>"))
+    else:
+        blocks = -(-lexicon.names_table.count() // most)
+        found = None
+        for k in range(blocks):
+            block = [r.name for r in lexicon.names_table.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k).collect()]
+            shared = df.sparkSession.sparkContext.broadcast(block)
+
+            def guarded(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+                grammar = Grammar(True, shared.value)
+                for batch in batches:
+                    rows = [(v, g) for v in batch[column] for g in grammar.guards(plain(v)[0])]
+                    yield pd.DataFrame(rows, columns=[column, "guard"])
+
+            here = values.mapInPandas(guarded, f"{column} string, guard int")
+            found = here if found is None else found.unionByName(here)
+        marks = found.groupBy(column).agg(F.collect_set("guard").alias("guards"))
+        out = salted_join(out, marks, [column], "left")
+    if lexicon.regions_table is None:
+        return out.withColumn("known", F.lit(None).cast("array<string>"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(v, p) for v in batch[column] for p in Grammar.parts(plain(v)[0])], columns=[column, "region"])
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"region": sorted({k for n in batch["name"] for k in (key(n), key(n.split("(")[0]))})})
+
+    parts = values.mapInPandas(cut, f"{column} string, region string")
+    names = lexicon.regions_table.mapInPandas(folded, "region string").distinct()
+    known = parts.join(names, "region", "left_semi").groupBy(column).agg(F.collect_set("region").alias("known"))
+    return salted_join(out, known, [column], "left")
+
+
 PACKED_SCHEMA = "field_name string, row_id bigint, elem int, pos int, n_values int, value string, error string"
 
 
-def split_values(
-    elements: DataFrame, compounds: dict[str, list[str]], packed_only: bool = False, regions: dict[str, list[str]] | None = None
-) -> DataFrame:
+def split_values(elements: DataFrame, lexicons: dict[str, Lexicon], packed_only: bool = False) -> DataFrame:
     """One row for each value of ``elements(field_name, row_id, elem, value)``.
 
     Result: ``field_name, row_id, elem, pos, n_values, value, error``; ``pos`` counts from 0
-    and ``error`` names what the parser backtracked on, else null.  ``compounds`` has the
-    lexicon of each field in which conjunctions separate; other fields split on delimiters
-    only.  ``regions`` has the names that belong to the place before them in a series.  Null and blank texts have no rows; repeated rows are each split; texts of any
+    and ``error`` names what the parser backtracked on, else null.  ``lexicons`` has the
+    names of each field in which conjunctions separate; other fields split on delimiters
+    only.  Null and blank texts have no rows; repeated rows are each split; texts of any
     length are parsed whole.  With ``packed_only`` strings of a single value are left out.
-    Narrow: rows stay in their partitions, each worker parses a distinct string once.
+    Narrow while the lexicons can be broadcast: rows stay in their partitions, each worker
+    parses a distinct string once.
     """
+    lists = {name: (x.listed, x.regions) for name, x in lexicons.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splitters: dict[str, Splitter] = {}
         for batch in batches:
             rows = []
-            for name, row, elem, value in zip(batch["field_name"], batch["row_id"], batch["elem"], batch["value"]):
+            for name, row, elem, value, guards, known in zip(*(batch[c] for c in ("field_name", "row_id", "elem", "value", "guards", "known"))):
                 if name not in splitters:
-                    splitters[name] = Splitter(Grammar(name in compounds, compounds.get(name, []), (regions or {}).get(name, [])))
-                found = splitters[name](value)
+                    splitters[name] = Splitter(Grammar(name in lists, *lists.get(name, ([], []))))
+                found = splitters[name](value, guards, known)
                 n = len(found.values)
                 if packed_only and n < 2:
                     continue
@@ -307,20 +413,12 @@ def split_values(
                 rows.extend((name, row, elem, pos, n, v, error) for pos, v in enumerate(found.values))
             yield pd.DataFrame(rows, columns=["field_name", "row_id", "elem", "pos", "n_values", "value", "error"])
 
-    narrow = elements.select("field_name", F.col("row_id").cast("bigint"), F.col("elem").cast("int"), "value")
-    return narrow.where("value is not null").mapInPandas(run, PACKED_SCHEMA)
-
-
-def compound_names(*columns: DataFrame) -> list[str]:
-    """Names that hold a conjunction, from one-column tables of a reference list.
-
-    A reference list is small by nature; the size is checked all the same.
-    """
-    names: set[str] = set()
-    for df in columns:
-        (column,) = df.columns
-        found = df.where(F.col(column).rlike(r"(?i)\s(and|&)\s")).distinct().limit(10_001).collect()
-        if len(found) > 10_000:
-            raise ValueError("more than 10,000 compound names: not a reference list")
-        names |= {r[0] for r in found}
-    return sorted(names)
+    narrow = elements.select("field_name", F.col("row_id").cast("bigint"), F.col("elem").cast("int"), "value").where("value is not null")
+    large = {n: x for n, x in lexicons.items() if x.names_table is not None or x.regions_table is not None}
+    parts = [with_hints(narrow.where(F.col("field_name") == n), "value", x) for n, x in large.items()]
+    parts.append(with_hints(narrow.where(~F.col("field_name").isin(list(large))) if large else narrow, "value", Lexicon()))
+    columns = ["field_name", "row_id", "elem", "value", "guards", "known"]
+    hinted = parts[0].select(*columns)
+    for part in parts[1:]:
+        hinted = hinted.unionByName(part.select(*columns))
+    return hinted.mapInPandas(run, PACKED_SCHEMA)

@@ -8,10 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import NO_PLACE, clean_string, geo_key, match_key, strip_qualifier, strip_ws
-
-#: Rows that a reference table may have to be broadcast by a hint; beyond it the planner decides.
-SMALL = 100_000
+from folioforge.functions.text import NO_PLACE, NO_PLACE_MARKERS, canonical_place, city_label, clean_string, geo_key, match_key, strip_qualifier, strip_ws
 
 
 def ensure_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -39,9 +36,32 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """A reference table with a broadcast hint if it is small, which is checked, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def label_city(df: DataFrame, cleaned: str, variants: DataFrame, city: str, into: str = "city_group") -> DataFrame:
+    """Adds the city group of a cleaned place; ``variants(variant)`` has the cleaned names of the city, however many."""
+    known = variants.where("variant is not null").select(F.col("variant").alias("__variant")).distinct().withColumn("__known", F.lit(True))
+    joined = df.withColumn("__variant", strip_ws(F.col(cleaned))).join(known, "__variant", "left")
+    return joined.withColumn(into, city_label(F.col(cleaned), F.col("__known"), city)).drop("__variant", "__known")
+
+
+def canonical_by_table(df: DataFrame, column: str, regions: DataFrame, into: str = "canonical") -> DataFrame:
+    """Adds the canonical form of a cleaned place, cut at its last region; ``regions(name, code)`` of any size.
+
+    The same rule as :func:`canonical_place`, with names of up to three words from a table.
+    """
+    values = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("__t", strip_ws(F.col(column)))
+    words = F.split("__t", " ")
+    start = F.explode(F.sequence(F.lit(1), F.size(words)))
+    grams = values.select(column, words.alias("__w"), start.alias("__j")).where(~((F.col("__j") == 1) & (F.size("__w") > 1) & (F.get("__w", F.lit(0)) == "mt")))
+    grams = grams.withColumn("__n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("__j + __n - 1 <= size(__w)")
+    grams = grams.withColumn("name", F.array_join(F.slice("__w", F.col("__j"), F.col("__n")), " "))
+    known = regions.select("name", F.col("code").alias("__code")).dropDuplicates(["name"])
+    # the last position that starts a region, there the longest name
+    last = grams.join(known, "name").groupBy(column).agg(F.max(F.struct("__j", "__n", "__code")).alias("__hit"))
+    found = values.join(last, column, "left")
+    city = F.array_join(F.slice(words, F.lit(1), F.col("__hit.__j") - 1), " ")
+    form = F.when(F.col("__hit").isNull(), F.col("__t")).otherwise(F.trim(F.concat_ws(" ", city, F.col("__hit.__code"))))
+    form = F.when((F.col("__t") != "") & ~F.col("__t").isin(NO_PLACE_MARKERS), form)
+    return df.join(found.select(column, form.alias(into)), column, "left")
 
 
 def is_real(place: Column, group: Column) -> Column:
@@ -91,15 +111,17 @@ def gazetteer_index(gazetteer: DataFrame) -> DataFrame:
 def match_places(probes: DataFrame, index: DataFrame, key: str = "geo_key") -> DataFrame:
     """Best entry of each probe ``key, place, country, admin1``: a cascade of four steps.
 
-    Name in tier 1, in tier 2, then without its last word in either.  Within the first step
-    that has candidates in the scope the largest population wins, ties the least id;
-    ``ambiguous`` says that there were several.  Probes without candidates have no row.
+    Name in tier 1, in tier 2, then its canonical form without the last word in either, so
+    that a state goes whole however it is written.  Within the first step that has
+    candidates in the scope the largest population wins, ties the least id; ``ambiguous``
+    says that there were several.  Probes without candidates have no row.
     """
-    words = F.split("place", " ")
+    words = F.split(canonical_place(F.col("place")), " ")
     short = F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " ")
+    short = F.when(short != F.col("place"), short)
     names = F.array(F.struct(F.lit(0).alias("step"), F.col("place").alias("name_key")), F.struct(F.lit(2).alias("step"), F.nullif(short, F.lit("")).alias("name_key")))
     tried = probes.where("place is not null and country is not null").select(key, F.lower("country").alias("country"), F.col("admin1").alias("__admin"), F.inline(names)).where("name_key is not null")
-    found = tried.join(small(index), ["country", "name_key"]).where(F.col("__admin").isNull() | (F.col("admin1") == F.col("__admin")))
+    found = tried.join(index, ["country", "name_key"]).where(F.col("__admin").isNull() | (F.col("admin1") == F.col("__admin")))
     # an entry may be reached by several of its names in one step; it is one candidate
     found = found.withColumn("step", F.col("step") + F.col("tier")).dropDuplicates([key, "step", "geonameid"])
     order = Window.partitionBy(key).orderBy("step", F.col("population").desc(), "geonameid")

@@ -9,8 +9,9 @@ from folioforge.functions import classes as C
 from folioforge.functions import text as T
 from folioforge.functions import years as Y
 from folioforge.operators.classify import classified_records
-from folioforge.operators.places import ensure_columns, keep_first
-from folioforge.plans.fields import compounds as compound_names
+from folioforge.operators.places import ensure_columns, keep_first, label_city
+from folioforge.plans import fields
+from folioforge.plans import oracle as O
 from folioforge.session import table
 
 RANGE = C.ClassRange("PS")
@@ -18,12 +19,13 @@ CITY = "Vorham"
 
 
 def clean_records(
-    records: DataFrame, wanted: C.ClassRange, variants: list[str], city: str, names_008: DataFrame | None = None, order: str = "rec_id", compounds: list[str] = T.COMPOUND_NAMES
+    records: DataFrame, wanted: C.ClassRange, variants: DataFrame, city: str, names_008: DataFrame | None = None, order: str = "rec_id", compounds: list[str] = T.COMPOUND_NAMES
 ) -> DataFrame:
     """One row for each record in range and place, first of each record, place and year.
 
-    Rows without class digits or a year are left out.  ``names_008(code, name)`` decodes the
-    008 place.  A record is its stripped lccn or, without one, its source id.
+    Rows without class digits or a year are left out.  ``variants(variant)`` has the cleaned
+    names of the city, ``names_008(code, name)`` decodes the 008 place.  A record is its
+    stripped lccn, marked as one, or without one its source id.
     """
     records = ensure_columns(records, {"source_record_id": "string", "imprint_fields": "array<struct<tag:string,ind2:string,subfields:array<struct<code:string,text:string>>>>", "field_008": "string"})
     matching = wanted.all_of(F.col("classifications"))
@@ -33,7 +35,8 @@ def clean_records(
     year, source = Y.publication_year([(n, F.col(f"__{n}")) for n, _ in sources])
     rows = rows.withColumns({"year_min": year, "year_source": source, "place_code_008": Y.place_code_008(F.col("field_008"))})
     rows = rows.where("class_digits is not null and year_min is not null")
-    record = F.coalesce(F.nullif(T.strip_ws(F.col("lccn")), F.lit("")), F.col("source_record_id"), F.concat(F.lit("row:"), F.col(order).cast("string")))
+    lccn = F.concat(F.lit("lccn:"), F.nullif(T.strip_ws(F.col("lccn")), F.lit("")))
+    record = F.coalesce(lccn, F.col("source_record_id"), F.concat(F.lit("row:"), F.col(order).cast("string")))
     places = F.posexplode(T.expand_places(F.col("places"), compounds)).alias("place_pos", "place")
     publisher = T.clean_string(F.get(F.col("publishers"), F.lit(0)))
     flat = rows.select(
@@ -41,7 +44,7 @@ def clean_records(
         Y.decade(F.col("year_min")).alias("decade"), publisher.alias("publisher_clean"), places,
     )
     flat = flat.withColumn("places_clean", T.clean_string(F.col("place")))
-    flat = flat.withColumn("city_group", T.city_label(F.col("place"), variants, city))
+    flat = label_city(flat, "places_clean", variants, city)
     first = keep_first(flat, ["record", "places_clean", "year_min"], [order, "place_pos"])
     if names_008 is None:
         return first.withColumn("place_name_008", F.lit(None).cast("string"))
@@ -50,8 +53,8 @@ def clean_records(
 
 
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    variants = [r.variant for r in table(spark, sf_dir, "city_variants").limit(1000).collect()]
-    rows = clean_records(table(spark, sf_dir, "marc_records"), RANGE, variants, CITY, table(spark, sf_dir, "marc_country_codes"), compounds=compound_names(spark, sf_dir))
+    """The clean rows of class PS."""
+    rows = clean_records(table(spark, sf_dir, "marc_records"), RANGE, table(spark, sf_dir, "city_variants"), CITY, table(spark, sf_dir, "marc_country_codes"))
     return rows.select("rec_id", "record", "target_class", "class_digits", "year_min", "year_source", "place_name_008", "place_pos", "place", "city_group", "decade")
 
 
@@ -118,7 +121,20 @@ SELECT rec_id, is_secondary, confidence, concat_ws(';', CASE WHEN r1 THEN 'R1' E
   CASE WHEN r7 THEN 'R7' END, CASE WHEN r8 THEN 'R8' END, CASE WHEN doc THEN 'R9' END) AS matched_rules,
   self_subject OR doc OR unclear OR r8 OR (NOT is_secondary AND confidence = 'low') AS review_flag, self_subject, doc AS primary_document FROM c"""
 
+_CLASS = "regexp_extract({0}, '^([A-Z]+)(\\d+)?', {1})"
+_DIGITS = f"TRY_CAST(nullif({_CLASS.format('{0}', 2)}, '') AS BIGINT)"
+_PS = f"list_filter(list_transform(coalesce(classifications, []), lambda c: {_STRIP.format('c')}), lambda c: coalesce({_CLASS.format('c', 1)} = 'PS' AND NOT coalesce({_DIGITS.format('c')} BETWEEN 8001 AND 8599, false), false))"
+_CLEAN_TABLE = f"""WITH evidence AS ({fields.SQL['year_evidence']}), {O.places('SELECT rec_id, places FROM marc_records')},
+r AS (SELECT m.rec_id, coalesce('lccn:' || nullif({O.strip('lccn')}, ''), source_record_id, 'row:' || m.rec_id) AS record, ({_PS})[1] AS target_class, year_min, year_source, decade,
+    CASE WHEN length(field_008) = 40 THEN trim(field_008[16:18]) END AS code FROM marc_records m JOIN evidence USING (rec_id)),
+f AS (SELECT r.*, {_DIGITS.format('target_class')} AS class_digits, pos AS place_pos, place, {O.cleaned('place')} AS places_clean FROM r JOIN places USING (rec_id) WHERE target_class IS NOT NULL AND year_min IS NOT NULL),
+d AS (SELECT * FROM f WHERE class_digits IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record, places_clean, year_min ORDER BY rec_id, place_pos) = 1)
+SELECT rec_id, record, target_class, class_digits, year_min, year_source, name AS place_name_008, place_pos, place,
+  CASE WHEN places_clean IS NULL OR places_clean = '' THEN 'No place of publication' WHEN places_clean IN (SELECT variant FROM city_variants WHERE variant IS NOT NULL) THEN '{CITY}' ELSE 'Other' END AS city_group, decade
+FROM d LEFT JOIN (SELECT trim(code) AS code, any_value(name) AS name FROM marc_country_codes GROUP BY 1) USING (code)"""
+
 SQL = {
+    "clean_table": _CLEAN_TABLE,
     "classified": _CLASSIFIED,
     "primary_only": f"SELECT obs_id, rec_id, is_secondary FROM imprint_places LEFT JOIN (SELECT rec_id, is_secondary FROM ({_CLASSIFIED})) USING (rec_id) WHERE is_secondary IS DISTINCT FROM true",
 }

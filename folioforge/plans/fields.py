@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import classes as C
 from folioforge.functions import text as T
 from folioforge.functions import years as Y
-from folioforge.plans.records import place_compounds
+from folioforge.operators.places import canonical_by_table, label_city
+from folioforge.plans import oracle as O
 from folioforge.session import table
 
 RANGE = C.ClassRange("PS", 3000, 3599)
 SIGNAL = "uuf"
-COMPOUNDS = [n.lower() for n in ("Vickaracres and Keltunholm", "Vuthânbury and Trindizholm")]
 
 
 def _records(spark, sf_dir) -> DataFrame:
@@ -49,38 +47,31 @@ def lccn_keys(spark, sf_dir):
 
 
 def city_labels(spark, sf_dir):
-    """Rows by given and derived label; the variants are a short list."""
-    variants = [r.variant for r in table(spark, sf_dir, "city_variants").limit(1000).collect()]
-    rows = _places(spark, sf_dir).select("city_group", T.city_label(F.col("places_clean"), variants, "Vorham").alias("label"))
+    """Rows by given and derived label."""
+    rows = label_city(_places(spark, sf_dir).select("city_group", "places_clean"), "places_clean", table(spark, sf_dir, "city_variants"), "Vorham", "label")
     return rows.groupBy("city_group", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _regions(spark, sf_dir) -> dict[str, str]:
-    rows = table(spark, sf_dir, "marc_place_008_geonames").where("geonames_country_code is not null").limit(10_000).collect()
-    bare = {r.place_name_008.split(" (")[0].lower(): f"{r.geonames_country_code}{r.geonames_admin1_code or ''}".lower() for r in rows}
-    return {k: v for k, v in bare.items() if k.isascii()}
+def canonical_places(spark, sf_dir):
+    """Distinct cleaned places cut at their region, of the table of regions."""
+    codes = table(spark, sf_dir, "marc_place_008_geonames").where("geonames_country_code is not null")
+    code = F.lower(F.concat("geonames_country_code", F.coalesce("geonames_admin1_code", F.lit(""))))
+    regions = codes.select(F.lower(F.split_part("place_name_008", F.lit(" ("), F.lit(1))).alias("name"), code.alias("code"))
+    return canonical_by_table(_places(spark, sf_dir).select("places_clean").distinct(), "places_clean", regions)
 
 
-def canonical_places(spark, sf_dir):
-    """Distinct cleaned places cut at their region."""
-    distinct = _places(spark, sf_dir).select("places_clean").distinct()
-    return distinct.select("places_clean", T.canonical_place(F.col("places_clean"), _regions(spark, sf_dir)).alias("canonical"))
+def state_places(spark, sf_dir):
+    """Distinct cleaned places cut at their state."""
+    return _places(spark, sf_dir).select("places_clean").distinct().select("places_clean", T.canonical_place(F.col("places_clean")).alias("canonical"))
 
 
 def distinct_places(spark, sf_dir):
     return _places(spark, sf_dir).where("trim(places_clean) <> ''").select("places_clean").distinct()
 
 
-def compounds(spark, sf_dir) -> list[str]:
-    """Place names that hold a conjunction: the fixed ones and those of the gazetteer and the 008 places."""
-    delivered = [n.split(" (")[0].lower() for n in place_compounds(spark, sf_dir)["places"]]
-    return list(dict.fromkeys(T.COMPOUND_NAMES + COMPOUNDS + [n for n in delivered if re.search(r"\s(and|&)\s", n)]))
-
-
 def split_places(spark, sf_dir):
     """Each place of the strings of a record, in order."""
-    rows = _records(spark, sf_dir).select("rec_id", F.posexplode(T.expand_places(F.col("places"), compounds(spark, sf_dir))).alias("pos", "place"))
-    return rows
+    return _records(spark, sf_dir).select("rec_id", F.posexplode(T.expand_places(F.col("places"))).alias("pos", "place"))
 
 
 def year_extract(spark, sf_dir):
@@ -108,11 +99,10 @@ def fields_008(spark, sf_dir):
 
 
 def country_names(spark, sf_dir):
-    """Decoded 044 codes in place, unknown ones null; the code list is small and becomes a map."""
-    names = table(spark, sf_dir, "marc_country_codes").select("code", "name").limit(10_000).collect()
-    mapped = F.create_map(*[F.lit(x) for r in names for x in (r.code.strip(), r.name)])
-    rows = _records(spark, sf_dir).where(F.size("country_codes_044") > 0)
-    return rows.select("rec_id", F.posexplode(T.decode_codes(F.col("country_codes_044"), mapped)).alias("pos", "name"))
+    """Decoded 044 codes in place, unknown ones null."""
+    names = table(spark, sf_dir, "marc_country_codes").select(F.trim("code").alias("code"), "name")
+    rows = _records(spark, sf_dir).select("rec_id", F.posexplode("country_codes_044").alias("pos", "code"))
+    return rows.withColumn("code", F.lower(T.strip_ws(F.col("code")))).join(names, "code", "left").select("rec_id", "pos", "name")
 
 
 def hierarchy_752(spark, sf_dir):
@@ -189,12 +179,11 @@ def class_totals(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_text, basic_clean, match_keys, qualifiers, lccn_keys, city_labels, canonical_places, distinct_places, split_places, year_extract, year_evidence,
+        clean_text, basic_clean, match_keys, qualifiers, lccn_keys, city_labels, canonical_places, state_places, distinct_places, split_places, year_extract, year_evidence,
         fields_008, country_names, hierarchy_752, cities_752, place_signals, signal_counts, signal_examples, legacy_years, target_places, birth_years, headings, class_match, class_scope, class_totals,
     )
 }
 
-_CLEAN = "trim(regexp_replace(lower(strip_accents({0})), '[^\\p{{L}}]+', ' ', 'g'))"
 _STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 _ONE_SPACE = "regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')"
 # RE2 has no look-around: digit runs are taken whole and kept where four long.
@@ -232,35 +221,28 @@ SELECT rec_id, coalesce(list_contains(list_transform(coalesce(country_codes_044,
   cities IS NOT NULL AS has_city, coalesce(list_contains(cities, 'Vorham'), false) AS in_city FROM marc_records LEFT JOIN c USING (rec_id)"""
 
 SQL = {
-    "clean_text": f"SELECT rec_id, {_CLEAN.format('title')} AS title, {_CLEAN.format('subtitle')} AS subtitle FROM marc_records",
+    "clean_text": f"SELECT rec_id, {O.cleaned('title')} AS title, {O.cleaned('subtitle')} AS subtitle FROM marc_records",
     "basic_clean": f"SELECT rec_id, nullif(lower({_STRIP.format(_ONE_SPACE)}), '') AS title FROM marc_records",
-    "match_keys": "SELECT geonameid, lower(trim(regexp_replace(regexp_replace(strip_accents(name), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g'))) AS key FROM gazetteer",
+    "match_keys": f"SELECT geonameid, {O.ascii_key('name')} AS key FROM gazetteer",
     "qualifiers": "SELECT place_name_008, regexp_replace(place_name_008, '(?i)\\s*\\(\\s*(state|province)\\s*\\)\\s*$', '') AS bare FROM marc_place_008_geonames",
     "lccn_keys": """SELECT rec_id, CASE WHEN regexp_matches(lower(lccn), '\\d') THEN regexp_extract(lower(lccn), '([a-z]*)\\s*(\\d+)', 1)
   || CASE WHEN regexp_full_match(regexp_extract(lower(lccn), '([a-z]*)\\s*(\\d+)', 2), '0+') THEN '0' ELSE ltrim(regexp_extract(lower(lccn), '([a-z]*)\\s*(\\d+)', 2), '0') END END AS lccn_key FROM marc_records""",
     "city_labels": """SELECT city_group, CASE WHEN places_clean IS NULL OR trim(places_clean) = '' THEN 'No place of publication'
   WHEN trim(places_clean) IN (SELECT variant FROM city_variants) THEN 'Vorham' ELSE 'Other' END AS label, count(*) AS n FROM imprint_places GROUP BY 1, 2""",
-    "canonical_places": """WITH regions AS (
-  SELECT lower(string_split(place_name_008, ' (')[1]) AS name, lower(geonames_country_code || coalesce(geonames_admin1_code, '')) AS code
-  FROM marc_place_008_geonames WHERE geonames_country_code IS NOT NULL
-), d AS (SELECT DISTINCT places_clean, string_split(trim(places_clean), ' ') AS w FROM imprint_places),
-g AS (SELECT places_clean, w, unnest(range(1, len(w) + 1)) AS j FROM d WHERE trim(places_clean) <> ''),
-n AS (SELECT g.*, unnest([3, 2, 1]) AS size FROM g),
-h AS (SELECT n.places_clean, n.w, n.j, code, row_number() OVER (PARTITION BY n.places_clean ORDER BY n.j DESC, n.size DESC) AS k
-  FROM n JOIN regions ON name = array_to_string(w[j : j + size - 1], ' ') WHERE NOT (j = 1 AND len(w) > 1 AND w[1] = 'mt'))
-SELECT d.places_clean, CASE WHEN trim(d.places_clean) = '' OR trim(d.places_clean) IN ('s l', 'n p', 's n', 'place of publication not identified', 'publisher location not identified', 'unknown place of publication') THEN NULL
-  WHEN h.code IS NULL THEN trim(d.places_clean) ELSE trim(array_to_string(h.w[1 : h.j - 1], ' ') || ' ' || h.code) END AS canonical
-FROM d LEFT JOIN h ON h.places_clean = d.places_clean AND k = 1""",
+    "canonical_places": O.canonical("SELECT DISTINCT places_clean FROM imprint_places", "places_clean", """(SELECT lower(string_split(place_name_008, ' (')[1]) AS name,
+  lower(geonames_country_code || coalesce(geonames_admin1_code, '')) AS code FROM marc_place_008_geonames WHERE geonames_country_code IS NOT NULL)"""),
+    "state_places": O.canonical("SELECT DISTINCT places_clean FROM imprint_places", "places_clean", O.states()),
+    "split_places": f"WITH {O.places('SELECT rec_id, places FROM marc_records')} SELECT rec_id, pos, place FROM places",
     "distinct_places": "SELECT DISTINCT places_clean FROM imprint_places WHERE trim(places_clean) <> ''",
     "year_extract": f"""SELECT rec_id, field, CAST(pos AS INT) AS pos, {_YEAR.format('raw')} AS year FROM (
   SELECT rec_id, 'year' AS field, unnest(year) AS raw, generate_subscripts(year, 1) - 1 AS pos FROM marc_records
   UNION ALL SELECT rec_id, 'publishers', unnest(publishers), generate_subscripts(publishers, 1) - 1 FROM marc_records)""",
-    "year_evidence": f"""WITH e AS (SELECT rec_id, {_imprint("o.tag = '260' OR o.tag = '264' AND coalesce(o.ind2, ' ') IN (' ', '', '1')")} AS y_publication, {_DATE} AS y_008,
+    "year_evidence": (f"""WITH e AS (SELECT rec_id, {_imprint("o.tag = '260' OR o.tag = '264' AND coalesce(o.ind2, ' ') IN (' ', '', '1')")} AS y_publication, {_DATE} AS y_008,
   {_imprint("o.tag = '264' AND o.ind2 = '4'")} AS y_copyright, {_imprint("o.tag = '264' AND coalesce(o.ind2, ' ') NOT IN (' ', '', '1', '4')")} AS y_other_264,
   {_least('year')} AS y_legacy, {_least('publishers')} AS y_publisher FROM marc_records),
 c AS (SELECT *, coalesce(y_publication, y_008, y_copyright, y_other_264, y_legacy, y_publisher) AS year_min FROM e)
 SELECT *, CASE WHEN y_publication IS NOT NULL THEN 'publication' WHEN y_008 IS NOT NULL THEN '008' WHEN y_copyright IS NOT NULL THEN 'copyright' WHEN y_other_264 IS NOT NULL THEN 'other_264'
-  WHEN y_legacy IS NOT NULL THEN 'legacy' WHEN y_publisher IS NOT NULL THEN 'publisher' END AS year_source, CASE WHEN year_min > 0 THEN (year_min // 10 * 10)::INT END AS decade FROM c""",
+  WHEN y_legacy IS NOT NULL THEN 'legacy' WHEN y_publisher IS NOT NULL THEN 'publisher' END AS year_source, CASE WHEN year_min > 0 THEN (year_min // 10 * 10)::INT END AS decade FROM c"""),
     "fields_008": f"""SELECT rec_id, place_code, name AS place_name, form, date1 FROM (
   SELECT rec_id, CASE WHEN length(field_008) = 40 THEN trim(field_008[16:18]) END AS place_code, CASE WHEN length(field_008) = 40 THEN field_008[34:34] END AS form, {_DATE} AS date1 FROM marc_records)
 LEFT JOIN marc_country_codes ON trim(code) = place_code""",
@@ -279,8 +261,8 @@ SELECT rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY i) - 1 AS IN
   CASE WHEN len(list_filter(coalesce(classifications, []), lambda c: {_P.format('c')} = 'PS')) = 0 THEN false
     ELSE coalesce({_DIG.format("list_filter(classifications, lambda c: " + _P.format('c') + " = 'PS')[1]")} < 8000, true) END)) WHERE place IS NOT NULL""",
     "birth_years": "SELECT rec_id, nullif(regexp_extract(first_author_dates, '\\d{4}'), '') AS birth_year FROM marc_records",
-    "headings": """SELECT rec_id, array_to_string(list_transform(subject_genre_fields, lambda o: o.tag || ': ' || coalesce(array_to_string(list_transform(o.subfields, lambda s: s.text), ' -- '), '')), '; ') AS headings
-FROM marc_records WHERE len(subject_genre_fields) > 0 AND len(list_filter(subject_genre_fields, lambda o: o IS NULL OR o.subfields IS NULL OR o.tag IS NULL OR len(list_filter(o.subfields, lambda s: s IS NULL OR s.text IS NULL)) > 0)) = 0""",
+    "headings": """SELECT rec_id, array_to_string(list_transform(list_filter(subject_genre_fields, lambda o: o IS NOT NULL), lambda o: coalesce(o.tag, '') || ': '
+  || coalesce(array_to_string(list_transform(o.subfields, lambda s: s.text), ' -- '), '')), '; ') AS headings FROM marc_records WHERE len(subject_genre_fields) > 0""",
     "class_match": f"""SELECT rec_id, CAST(pos AS INT) AS pos, nullif({_P.format(_C)}, '') AS prefix, {_DIG.format(_C)} AS digits, {_IN.format(_C)} AS in_range, CASE WHEN {_IN.format(_C)} THEN {_DIG.format(_C)} END AS range_digits
 FROM (SELECT rec_id, unnest(classifications) AS class, generate_subscripts(classifications, 1) - 1 AS pos FROM marc_records)""",
     "class_scope": f"""SELECT rec_id, CASE WHEN len(coalesce(classifications, [])) > 0 THEN len(list_filter(classifications, lambda c: regexp_matches({_STRIP.format('c')}, '^PS\\s*\\d'))) > 0

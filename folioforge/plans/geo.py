@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import NO_PLACE, geo_key, normalize_lccn, place_hint, flatten_hierarchy
 from folioforge.operators import places as P
+from folioforge.plans import oracle as O
 from folioforge.session import table
 
 CITY = "Vorham"
@@ -50,7 +51,7 @@ def _scoped(spark, sf_dir):
     scopes = table(spark, sf_dir, "marc_place_008_geonames").where("geonames_country_code is not null")
     scopes = scopes.select("place_name_008", F.col("geonames_country_code").alias("country"), F.col("geonames_admin1_code").alias("admin1"))
     groups = P.geo_groups(_keyed(spark, sf_dir)).withColumn("place", F.trim("places_clean"))
-    return groups, groups.join(P.small(scopes), "place_name_008").select("geo_key", "place", "country", "admin1")
+    return groups, groups.join(scopes, "place_name_008").select("geo_key", "place", "country", "admin1")
 
 
 def gazetteer_match(spark, sf_dir):
@@ -255,10 +256,9 @@ groups AS (
     arg_min(geocode_policy, obs_id) AS geocode_policy, arg_min(places, obs_id) FILTER (places IS NOT NULL) AS places, count(*) AS n_records
   FROM keyed WHERE places_clean IS NOT NULL AND trim(places_clean) <> '' GROUP BY 1
 )"""
-_CLEAN = "trim(regexp_replace(lower(strip_accents({0})), '[^\\p{{L}}]+', ' ', 'g'))"
 _INDEX = f"""names AS (
-  SELECT g.*, list_filter(list_distinct([{_CLEAN.format('name')}, {_CLEAN.format('asciiname')}]), lambda k: k IS NOT NULL AND k <> '') AS one,
-    list_distinct(list_transform(string_split(alternatenames, ','), lambda n: {_CLEAN.format('n')})) AS two FROM gazetteer g WHERE feature_class = 'P'
+  SELECT g.*, list_filter(list_distinct([{O.cleaned('name')}, {O.cleaned('asciiname')}]), lambda k: k IS NOT NULL AND k <> '') AS one,
+    list_distinct(list_transform(string_split(alternatenames, ','), lambda n: {O.cleaned('n')})) AS two FROM gazetteer g WHERE feature_class = 'P'
 ), idx AS (
   SELECT lower(country) AS country, unnest(one) AS name_key, 1 AS tier, geonameid, name, nullif(trim(admin1), '') AS admin1, coalesce(population, 0) AS population FROM names
   UNION ALL SELECT lower(country), unnest(list_filter(two, lambda k: k <> '' AND NOT list_contains(one, k))), 2, geonameid, name, nullif(trim(admin1), ''), coalesce(population, 0) FROM names
@@ -266,8 +266,10 @@ _INDEX = f"""names AS (
 _MATCH = f"""{_GROUPS}, {_INDEX},
 probes AS (SELECT geo_key, trim(g.places_clean) AS place, lower(geonames_country_code) AS country, geonames_admin1_code AS scope
   FROM groups g JOIN marc_place_008_geonames USING (place_name_008) WHERE geonames_country_code IS NOT NULL),
+canon AS ({O.canonical('SELECT DISTINCT place FROM probes', 'place', O.states())}),
 tried AS (SELECT geo_key, country, scope, 0 AS step, place AS name_key FROM probes
-  UNION ALL SELECT geo_key, country, scope, 2, regexp_replace(place, ' [^ ]*$', '') FROM probes WHERE contains(place, ' ')),
+  UNION ALL SELECT geo_key, country, scope, 2, regexp_replace(canonical, ' [^ ]*$', '') FROM probes JOIN canon USING (place)
+    WHERE contains(canonical, ' ') AND regexp_replace(canonical, ' [^ ]*$', '') <> place),
 found AS (SELECT DISTINCT geo_key, step + tier AS step, geonameid, population, i.country, admin1 FROM tried JOIN idx i USING (country, name_key) WHERE scope IS NULL OR admin1 = scope),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY geo_key ORDER BY step, population DESC, geonameid) AS k, count(*) OVER (PARTITION BY geo_key, step) AS n FROM found),
 best AS (SELECT geo_key, geonameid, CAST(step AS INT) AS step, n > 1 AS ambiguous, country, admin1 FROM ranked WHERE k = 1)"""
@@ -284,11 +286,9 @@ coded AS (
 _BOXED = f"boxed AS (SELECT lat, lon, count(*) AS n FROM coded WHERE lon BETWEEN {BOX[0]} AND {BOX[1]} AND lat BETWEEN {BOX[2]} AND {BOX[3]} GROUP BY 1, 2)"
 _LCCN = """CASE WHEN regexp_matches(lower({0}), '\\d') THEN regexp_extract(lower({0}), '([a-z]*)\\s*(\\d+)', 1)
   || CASE WHEN regexp_full_match(regexp_extract(lower({0}), '([a-z]*)\\s*(\\d+)', 2), '0+') THEN '0' ELSE ltrim(regexp_extract(lower({0}), '([a-z]*)\\s*(\\d+)', 2), '0') END END"""
-# DuckDB has no compatibility form; the wide punctuation of the data stands for it.
-_KEY = "lower(trim(regexp_replace(regexp_replace(strip_accents(translate({0}, '：；，．（）［］？', ':;,.()[]?')), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g')))"
 _BARE = "regexp_replace({0}, '(?i)\\s*\\(\\s*(state|province)\\s*\\)\\s*$', '')"
-_SCOPE = f"""nat AS (SELECT {_KEY.format('place_name_008')} AS k, min(geonames_country_code) AS national FROM marc_place_008_geonames WHERE geonames_country_code IS NOT NULL AND geonames_admin1_code IS NULL GROUP BY 1),
-reg AS (SELECT {_KEY.format(_BARE.format('place_name_008'))} AS k, count(DISTINCT geonames_country_code) AS n, min(geonames_country_code) AS c, min(geonames_admin1_code) AS a
+_SCOPE = f"""nat AS (SELECT {O.ascii_key('place_name_008')} AS k, min(geonames_country_code) AS national FROM marc_place_008_geonames WHERE geonames_country_code IS NOT NULL AND geonames_admin1_code IS NULL GROUP BY 1),
+reg AS (SELECT {O.ascii_key(_BARE.format('place_name_008'))} AS k, count(DISTINCT geonames_country_code) AS n, min(geonames_country_code) AS c, min(geonames_admin1_code) AS a
   FROM marc_place_008_geonames WHERE geonames_admin1_code IS NOT NULL GROUP BY 1)"""
 _SCOPED = "SELECT name, coalesce(national, CASE WHEN n = 1 THEN c END) AS country, CASE WHEN national IS NULL AND n = 1 THEN a END AS admin1"
 _PREFIX = "list_filter(list_transform(coalesce(classifications, []), lambda c: regexp_extract(c, '^([A-Z]+)(\\d+)?', 1)), lambda p: p <> '')"
@@ -335,10 +335,10 @@ s AS (SELECT rec_id, i, unnest(o.subfields) AS s, generate_subscripts(o.subfield
 l AS (SELECT rec_id, i, string_agg(trim(s.text), ', ' ORDER BY s.code, j) AS line FROM s WHERE s.code IN ('a', 'b', 'c', 'd', 'e') AND trim(s.text) <> '' GROUP BY 1, 2),
 h AS (SELECT rec_id, arg_min(line, i) AS line FROM l GROUP BY 1)
 SELECT rec_id, nullif(concat_ws(chr(10), '008 place: ' || nullif(trim(name), ''), '752 hierarchy: ' || nullif(trim(line), '')), '') AS hint FROM marc_records LEFT JOIN f USING (rec_id) LEFT JOIN h USING (rec_id)""",
-    "scope_names": f"WITH {_SCOPE} {_SCOPED} FROM (SELECT DISTINCT name, {_KEY.format(_BARE.format('name'))} AS k FROM marc_country_codes) LEFT JOIN nat USING (k) LEFT JOIN reg USING (k)",
+    "scope_names": f"WITH {_SCOPE} {_SCOPED} FROM (SELECT DISTINCT name, {O.ascii_key(_BARE.format('name'))} AS k FROM marc_country_codes) LEFT JOIN nat USING (k) LEFT JOIN reg USING (k)",
     "answer_scopes": f"""WITH {_SCOPE}, p AS (SELECT geo_key, trim(name) AS name, pos FROM (SELECT places AS geo_key, unnest(string_split(places, ',')) AS name, generate_subscripts(string_split(places, ','), 1) - 1 AS pos FROM (SELECT DISTINCT places FROM imprint_places WHERE places IS NOT NULL)) WHERE pos > 0),
 s AS (SELECT geo_key, pos, coalesce(national, CASE WHEN n = 1 THEN c END) AS country, CASE WHEN national IS NULL AND n = 1 THEN a END AS admin1
-  FROM (SELECT *, {_KEY.format(_BARE.format('name'))} AS k FROM p WHERE name <> '') LEFT JOIN nat USING (k) LEFT JOIN reg USING (k))
+  FROM (SELECT *, {O.ascii_key(_BARE.format('name'))} AS k FROM p WHERE name <> '') LEFT JOIN nat USING (k) LEFT JOIN reg USING (k))
 SELECT geo_key, country, admin1 FROM s WHERE country IS NOT NULL QUALIFY row_number() OVER (PARTITION BY geo_key ORDER BY (admin1 IS NOT NULL) DESC, pos DESC) = 1""",
     "top_groups": f"WITH {_GROUPS} SELECT geo_key, n_records FROM groups ORDER BY n_records DESC, geo_key LIMIT 10",
     "prefix_cube": f"""WITH k AS (SELECT rec_id, unnest(list_distinct(list_concat({_PREFIX}, list_transform({_PREFIX}, lambda p: p[1:1])))) AS prefix FROM marc_records)

@@ -45,29 +45,20 @@ def packed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.unionByName(publishers)
 
 
-def place_compounds(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
-    """The lexicon of place names that hold a conjunction."""
-    names = multivalue.compound_names(
-        table(spark, sf_dir, "gazetteer").select("name"),
-        table(spark, sf_dir, "marc_place_008_geonames").select("place_name_008"),
-    )
-    return {"places": names}
-
-
-def place_regions(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
-    """The names of regions, a fixed code list."""
-    rows = table(spark, sf_dir, "marc_place_008_geonames").where("place_name_008 is not null").select("place_name_008").distinct().limit(10_000)
-    return {"places": [r[0] for r in rows.collect()]}
+def place_lexicon(spark: SparkSession, sf_dir: str) -> multivalue.Lexicon:
+    """Place names that hold a conjunction, and the names of regions."""
+    regions = table(spark, sf_dir, "marc_place_008_geonames").select("place_name_008")
+    return multivalue.make_lexicon([table(spark, sf_dir, "gazetteer").select("name"), regions], regions)
 
 
 def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of every place and publisher string, with position and error flag."""
-    return multivalue.split_values(packed_elements(spark, sf_dir), place_compounds(spark, sf_dir), regions=place_regions(spark, sf_dir))
+    return multivalue.split_values(packed_elements(spark, sf_dir), {"places": place_lexicon(spark, sf_dir)})
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of the values of strings that hold two or more."""
-    rows = multivalue.split_values(packed_elements(spark, sf_dir), place_compounds(spark, sf_dir), packed_only=True, regions=place_regions(spark, sf_dir))
+    rows = multivalue.split_values(packed_elements(spark, sf_dir), {"places": place_lexicon(spark, sf_dir)}, packed_only=True)
     return rows.select("field_name", "row_id", "elem", "pos")
 
 

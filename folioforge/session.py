@@ -23,6 +23,7 @@ def get_spark(app: str = "folioforge", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
@@ -58,17 +59,31 @@ def ship_package(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (local tests) one is made.  The files outlive lost executors.
+    The folder is that of :func:`shared_folder`.  The files outlive lost executors.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="folioforge-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset one is made in local mode, as in tests; on a cluster a folder of one
+    machine would lose data, so there it is an error.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all machines share")
+    if not hasattr(context, "_folioforge_folder"):
+        context._folioforge_folder = "file://" + tempfile.mkdtemp(prefix="folioforge-checkpoint-")
+    return context._folioforge_folder
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out to all cores, before costly work on few bytes that AQE would leave to one task."""
     spark = df.sparkSession

@@ -71,12 +71,27 @@ def test_rows(spark):
     schema = "field_name string, row_id bigint, elem int, value string, pos int"
     data = [("places", 1, 0, "A ; B", 7), ("places", 1, 0, "A ; B", 7), ("places", 2, 0, None, 7), ("publishers", 3, 1, "x" * 200_000 + " ; y", 7), ("publishers", None, None, "One & Two", 7)]
     df = spark.createDataFrame(data, schema)
-    got = sorted((r.field_name, r.row_id or 0, r.pos, r.n_values) for r in M.split_values(df, {"places": []}).collect())
+    got = sorted((r.field_name, r.row_id or 0, r.pos, r.n_values) for r in M.split_values(df, {"places": M.Lexicon()}).collect())
     assert got == [("places", 1, 0, 2), ("places", 1, 0, 2), ("places", 1, 1, 2), ("places", 1, 1, 2), ("publishers", 0, 0, 1), ("publishers", 3, 0, 2), ("publishers", 3, 1, 2)]
-    assert M.split_values(df, {"places": []}, packed_only=True).count() == 6
-    assert M.split_values(df.limit(0), {"places": []}).count() == 0
-
-
-def test_compound_names(spark):
-    df = spark.createDataFrame([("A and B",), ("C",), (None,)], "name string")
-    assert M.compound_names(df) == ["A and B"]
+    assert M.split_values(df, {"places": M.Lexicon()}, packed_only=True).count() == 6
+    assert M.split_values(df.limit(0), {"places": M.Lexicon()}).count() == 0
+
+
+def test_lexicons_of_any_size_say_the_same(spark):
+    """20,000 compound names and regions: the blocks and joins of a large lexicon give the rows of a broadcast one."""
+    names = [f"Vor{i}ham and Kel{i}ton" for i in range(20_000)] + ["Foo Hill & Bar Dale", "Plain"]
+    regions = [f"Region{i}" for i in range(20_000)] + ["Nordland (State)"]
+    one = spark.createDataFrame([(n,) for n in names] + [(None,)], "name string")
+    two = spark.createDataFrame([(r,) for r in regions] + [(None,)], "place string")
+    texts = ["Vor77ham and Kel77ton", "Vor78hma & Kel78ton ; Rome", "Rome and Paris", "FOO HILL and bar dale and Rome", "[Foo Hill & Bar Dale and X]", "A, Nordland, B, and C", "A, Region5, and C", "", None, "A, B, and C"]
+    df = spark.createDataFrame([("places", i, 0, t) for i, t in enumerate(texts)] + [("firms", 50, 0, "A & B")], "field_name string, row_id bigint, elem int, value string")
+    large = M.make_lexicon([one], two)
+    assert large.names_table is not None and large.regions_table is not None and not large.listed
+    small = M.make_lexicon([one], two, most=100_000)
+    assert len(small.listed) == 20_001 and small.names_table is None
+    few = M.make_lexicon([one.where("name like 'Vor7%' or name like 'Foo%'")], two.where("place in ('Nordland (State)', 'Region5')"))
+    got = sorted(map(tuple, M.split_values(df, {"places": large}).collect()))
+    assert got == sorted(map(tuple, M.split_values(df, {"places": few}).collect()))
+    values = lambda i: [r[5] for r in got if r[1] == i]
+    assert values(0) == [texts[0]] and len(values(1)) == 2 and len(values(2)) == 2 and len(values(3)) == 2 and len(values(4)) == 2
+    assert values(5) == ["A, Nordland", "B", "C"] and values(6) == ["A, Region5", "C"] and values(9) == ["A", "B", "C"]

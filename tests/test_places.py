@@ -104,3 +104,30 @@ def test_salted_join_equals_join(spark, how):
     want, got = left.join(right, "k", how), salted_join(left, right, ["k"], how, salts=5, share=0.1)
     order = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
     assert order(got) == order(want)
+
+
+def test_retry_drops_the_state_however_it_is_written(spark):
+    """A state goes whole; words that are no state lose the last one."""
+    gazetteer = spark.createDataFrame(
+        [(1, "Waterville", "P", "US", "NY", 10), (2, "Boston", "P", "US", "MA", 20), (3, "Springfield", "P", "US", "MA", 5), (4, "Washington", "P", "US", "DC", 5)],
+        "geonameid bigint, name string, feature_class string, country string, admin1 string, population bigint",
+    ).selectExpr("*", "name as asciiname", "cast(null as string) as alternatenames", "0.0D as lat", "0.0D as lon")
+    probes = [
+        ("a", "waterville new york", "NY", 1), ("b", "boston mass usa", "MA", 2), ("c", "boston ma", "MA", 2), ("d", "springfield massachusetts broadway", "MA", 3), ("e", "springfield heights", "MA", 3),
+        ("f", "new york", "NY", None), ("g", "boston", "NY", None), ("h", "washington d c", "DC", 4), ("i", "s l", "MA", None), ("j", "", "MA", None), ("k", None, "MA", None), ("l", "mt boston mass", "MA", None),
+    ]
+    df = spark.createDataFrame([(k, p, "us", a) for k, p, a, _ in probes], "geo_key string, place string, country string, admin1 string")
+    got = {r.geo_key: (r.geonameid, r.step) for r in P.match_places(df, P.gazetteer_index(gazetteer)).collect()}
+    assert got == {k: (n, 3) for k, _, _, n in probes if n}
+
+
+def test_many_variants_codes_and_regions(spark):
+    """20,000 entries of a reference list are all read."""
+    variants = spark.createDataFrame([(f"city {i}",) for i in range(20_000)] + [(None,)], "variant string")
+    places = spark.createDataFrame([("city 19999",), ("town",), (None,), (" ",), ("city 1",)], "places_clean string")
+    assert sorted(r.city_group for r in P.label_city(places, "places_clean", variants, "C").collect()) == ["C", "C", "No place of publication", "No place of publication", "Other"]
+    words = ["".join("abcdefghij"[int(d)] for d in f"{i:05d}") for i in range(20_000)]
+    regions = spark.createDataFrame([(w, f"r{i}") for i, w in enumerate(words)] + [("new york", "ny"), ("york", "yy")], "name string, code string")
+    df = spark.createDataFrame([(f"foo {words[19_999]} street",), ("a new york", ), ("mt horeb",), ("s l",), (None,), ("",)], "p string")
+    got = {r.p: r.canonical for r in P.canonical_by_table(df, "p", regions).collect()}
+    assert got == {f"foo {words[19_999]} street": "foo r19999", "a new york": "a yy", "mt horeb": "mt horeb", "s l": None, None: None, "": None}
