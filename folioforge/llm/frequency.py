@@ -4,8 +4,10 @@
    occurrences, combined map-side, so a hot term or a hot record sends one row per map task.
 2. A global integer dictionary numbers the distinct terms: range-partitioned by term, each
    task numbers its own terms and the tasks' offsets, one number a task, are added.
-3. Each block of rows is combined into count arrays over identifier ranges of ``WIDTH``.
-4. The arrays are summed by range and read back against the dictionary.
+3. Each block of rows is combined into count arrays over identifier ranges of ``WIDTH``; an
+   array has the identifiers that occur and their counts, so it is as long as its terms.
+4. The arrays are shuffled by range, each range is summed in one dense array at a time, and
+   the sums are read back against the dictionary.
 
 A row of (field, term, record) is unique after step 1, so record presence is additive.
 """
@@ -41,36 +43,43 @@ def dictionary(terms: DataFrame, on: list[str]) -> DataFrame:
     return joined.select(*on, (F.col("__start") + within).alias("term_id"))
 
 
-ARRAYS = "range_id bigint, occurrences array<bigint>, records array<bigint>"
+ARRAYS = "range_id bigint, at array<int>, occurrences array<bigint>, records array<bigint>"
+COUNTS = ("occurrences", "records")
 
 
 def _block_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """Count arrays of each Arrow batch: identifiers within their range, and both counts."""
     for batch in batches:
-        ids = batch["term_id"].to_numpy()
-        for name in np.unique(ids // WIDTH):
-            here = ids // WIDTH == name
-            at = (ids[here] % WIDTH).astype(np.int64)
-            sums = counts.setdefault(int(name), (np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)))
-            np.add.at(sums[0], at, batch["occurrences"].to_numpy()[here])
-            np.add.at(sums[1], at, batch["records"].to_numpy()[here])
-        if len(counts) >= 256:  # bounds the memory of a worker
-            yield _frame(counts)
-            counts = {}
-    yield _frame(counts)
-
-
-def _frame(counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"range_id": list(counts), "occurrences": [o for o, _ in counts.values()], "records": [r for _, r in counts.values()]}
-    )
+        if not len(batch):
+            continue
+        ids, where = np.unique(batch["term_id"].to_numpy(), return_inverse=True)
+        sums = {c: np.bincount(where, batch[c].to_numpy(), len(ids)).astype(np.int64) for c in COUNTS}
+        ranges, starts = np.unique(ids // WIDTH, return_index=True)
+        cut = lambda x: np.split(x, starts[1:])
+        yield pd.DataFrame({"range_id": ranges, "at": cut((ids % WIDTH).astype(np.int32)), **{c: cut(sums[c]) for c in COUNTS}})
+
 
+def _sum_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of arrays that come sorted by range; one dense array is held at a time."""
+    now, sums = None, None
 
-def _sum_arrays(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    occurrences = np.sum(np.stack(frame["occurrences"].to_list()), axis=0)
-    records = np.sum(np.stack(frame["records"].to_list()), axis=0)
-    present = np.flatnonzero(occurrences)
-    return pd.DataFrame({"term_id": key[0] * WIDTH + present, "occurrences": occurrences[present], "records": records[present]})
+    def done() -> pd.DataFrame:
+        present = np.flatnonzero(sums[0])
+        return pd.DataFrame({"term_id": now * WIDTH + present, "occurrences": sums[0][present], "records": sums[1][present]})
+
+    for batch in batches:
+        out = []
+        for name, at, occurrences, records in zip(batch["range_id"], batch["at"], batch["occurrences"], batch["records"]):
+            if name != now:
+                if now is not None:
+                    out.append(done())
+                now, sums = name, np.zeros((2, WIDTH), np.int64)
+            sums[0][at] += occurrences  # an array has each identifier once
+            sums[1][at] += records
+        if out:
+            yield pd.concat(out)
+    if now is not None:
+        yield done()
 
 
 def term_frequencies(terms: DataFrame) -> DataFrame:
@@ -89,8 +98,8 @@ def term_frequencies(terms: DataFrame) -> DataFrame:
     partial = cut_lineage(partial)
     numbered = cut_lineage(dictionary(partial, on))
     encoded = partial.join(numbered, on).select("term_id", "occurrences", "records")
-    arrays = encoded.mapInPandas(_block_arrays, ARRAYS)
-    summed = arrays.groupBy("range_id").applyInPandas(_sum_arrays, "term_id bigint, occurrences bigint, records bigint")
+    arrays = encoded.mapInPandas(_block_arrays, ARRAYS).repartition("range_id").sortWithinPartitions("range_id")
+    summed = arrays.mapInPandas(_sum_arrays, "term_id bigint, occurrences bigint, records bigint")
     return summed.join(numbered, "term_id").select(*on, "occurrences", "records")
 
 

@@ -1,9 +1,9 @@
 """Evaluation passages inside a corpus.
 
-1. Items become folded words; every run of ``SEED`` words is a pattern of one Aho-Corasick
-   automaton.
-2. Each text is scanned once, its words folded the same way, with the offset of every word
-   in the original kept.
+1. Items become folded words, and words numbers; every run of ``SEED`` numbers is a pattern
+   of one Aho-Corasick automaton, which a Python worker builds once for all its tasks.
+2. Each text is scanned once, its words folded and numbered the same way; where a seed is
+   found the offset of every word in the original is taken.
 3. Seeds of one item on neighbouring diagonals that cover at least ``COVERED`` of its words
    are aligned word by word with the text around them.  Any passage of ``WORDS`` words with
    at most one edit in ``PER_EDIT`` covers as many, so nothing is lost.
@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from bisect import bisect_right
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,8 +33,8 @@ WORDS = 24
 PER_EDIT = 8
 #: Fewest words in seeds of a passage: three edits cut 24 words into runs of which three may be under ``SEED`` words.
 COVERED = 9
-#: Words of items in one automaton (about 200 MB); more are scanned in several passes.
-MOST_WORDS = 200_000
+#: Words of items in one automaton (about 300 MB); more are scanned in several passes.
+MOST_WORDS = 500_000
 #: Words of text on either side of the seeds that are aligned.
 AROUND = 12
 IGNORED = "­​-‍⁠﻿"
@@ -62,17 +62,28 @@ def words_of(text: str, known: dict[str, str]) -> tuple[list[str], list[tuple[in
     return [w for w, _ in found], [s for _, s in found]
 
 
+def folded(text: str, known: dict[str, str]) -> list[str]:
+    """Folded words without their offsets."""
+    get = known.get
+    return [get(w) or fold_word(w, known) for w in WORD.findall(text)]
+
+
 class Scanner:
     """Finds the items of one automaton in texts."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.known: dict[str, str] = {}
-        self.items = {i: words_of(t, self.known)[0] for i, t in items}
-        seeds: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.items = {i: folded(t, self.known) for i, t in items}
+        self.number: dict[str, int] = {}
+        for words in self.items.values():
+            for w in words:
+                self.number.setdefault(w, len(self.number) + 1)
+        seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for i, words in self.items.items():
-            for at in range(len(words) - SEED + 1):
-                seeds[" " + " ".join(words[at : at + SEED]) + " "].append((i, at))
-        self.automaton = ahocorasick.Automaton()
+            numbers = [self.number[w] for w in words]
+            for at in range(len(numbers) - SEED + 1):
+                seeds[tuple(numbers[at : at + SEED])].append((i, at))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for pattern, places in seeds.items():
             self.automaton.add_word(pattern, places)
         if seeds:
@@ -83,19 +94,17 @@ class Scanner:
         """(item, start, end, item_from, item_to, edits) of each item found; offsets are the original's."""
         if not text or self.empty:
             return []
-        words, spans = words_of(text, self.known)
+        words = folded(text, self.known)
         if len(words) < SEED:
             return []
-        joined = " " + " ".join(words) + " "
-        starts, at = [], 1
-        for w in words:
-            starts.append(at)
-            at += len(w) + 1
+        number = self.number.get
         seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for end, places in self.automaton.iter(joined):
-            last = bisect_right(starts, end - 1) - 1
+        for end, places in self.automaton.iter(tuple([number(w, 0) for w in words])):
             for item, place in places:
-                seeds[item].append((last - SEED + 1, place))
+                seeds[item].append((end - SEED + 1, place))
+        if not seeds:
+            return []
+        spans = [m.span() for m in WORD.finditer(text)]
         out = []
         for item, found in seeds.items():
             best = None
@@ -195,6 +204,17 @@ def _stretch(at: list[tuple[int, int, int]], ends: list[bool]):
     return best
 
 
+_SCANNERS: dict[str, Scanner] = {}
+
+
+def scanner(mark: str, shared) -> Scanner:
+    """The scanner of a broadcast list of items, kept for later tasks of the worker; only the last one is."""
+    if mark not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[mark] = Scanner(shared.value)
+    return _SCANNERS[mark]
+
+
 FOUND_SCHEMA = "doc_id bigint, item_id bigint, start int, end int, item_from int, item_to int, edits int"
 
 
@@ -214,10 +234,10 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
         block = given.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()
         shared = documents.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in block])
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            scanner = Scanner(shared.value)
+        def run(batches: Iterator[pd.DataFrame], shared=shared, mark=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            find = scanner(mark, shared).find
             for batch in batches:
-                rows = [(doc, *hit) for doc, text in zip(batch["doc_id"], batch["text"]) for hit in scanner.find(text)]
+                rows = [(doc, *hit) for doc, text in zip(batch["doc_id"], batch["text"]) for hit in find(text)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "item_from", "item_to", "edits"])
 
         here = documents.where("text is not null").select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, FOUND_SCHEMA)

@@ -2,18 +2,21 @@
 
 All work is on distinct spellings, apart from the last join with the rows.
 
-1. A spelling's key drops case, accents, punctuation, spacing and a trailing year; its core
-   is its tokens that are not common in the collection (shares counted over all spellings).
+1. A spelling's key drops case, accents, punctuation, spacing and a trailing year.  Its plain
+   form has misspelt and shortened common words in their usual form, titles dropped, and
+   surname and given names in order; spellings of one plain form are one class without any
+   comparison.  Its core is its tokens that are not common in the collection (shares counted
+   over all spellings).
 2. Distinct cores are compared: MinHash bands over padded q-grams, the number of bands chosen
-   from the collision curve; all that collide go on.  Members of buckets above
-   ``MOST_IN_BUCKET`` go through an exact prefix-filter join on q-grams as well.  Cores that
-   differ in one token by accepted edits also meet exactly, on the token without some letters.
-3. Spellings of one core, or of cores whose tokens agree, are verified by Monge-Elkan
-   similarity of tokens, where initials, abbreviations, nicknames and typos count as close.
-   In a core with more than ``MOST_IN_CORE`` spellings only those are paired that share one
-   of the first two letters of a token, as spelt or as the common word that it misspells;
-   spellings of one core always do.
-4. Star clustering of the verified links: the spelling with the fullest given name and most
+   from the collision curve; all that collide go on.  Cores that differ in one token by
+   accepted edits also meet exactly, on the token without some letters, since short tokens
+   lie below the similarity of the curve.
+3. Plain forms of one core, or of cores whose tokens agree, meet on blocks: two letters at
+   either end of the first given name, one letter where it is an initial; the letters of the
+   common words of a firm.  Forms without a given name, or without common words, meet all of
+   their core.  Each pair is verified once, by Monge-Elkan similarity of tokens, where
+   initials, abbreviations, nicknames and typos count as close.
+4. Star clustering of the verified links: the form with the fullest given name and most
    links among its unassigned neighbours becomes a centre and takes its neighbours.
 
 Defined results: null and letterless names have no key and no row; repeated rows share their
@@ -25,7 +28,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,48 +45,45 @@ Q = 3
 ROWS = 4
 #: Jaccard similarity of cores that must be found, and the share of such pairs that is.
 SIMILAR, RECALL = 0.5, 0.98
-MOST_IN_BUCKET = 100
-MOST_IN_CORE = 100
-#: A token is common in at least this share, and number, of the spellings.
-COMMON_SHARE, COMMON_LEAST = 0.004, 20
+#: A token is common if its share of the spellings, less two standard errors, is at least this.
+COMMON_SHARE = 0.004
 RARE_WEIGHT = 7.0
-#: Monge-Elkan similarity from which two spellings may mean the same.
-ALIKE = 0.86
+#: Monge-Elkan similarity from which two spellings may mean the same, and two cores.
+ALIKE, CORE_ALIKE = 0.86, 0.75
+#: A given name of so many letters may be an abbreviation that only its first letter shows.
+SHORT = 3
 YEAR = re.compile(r"[\s,;:.(\[]*\b\d{4}\b[\s.,;:\"\])]*$")
 
-# Nicknames and short forms of given names.
+# Given names and their usual short forms and nicknames.
 NICKNAMES = {
-    "alec": "alexander", "alex": "alexander", "sandy": "alexander", "sascha": "alexander", "xander": "alexander",
-    "charlie": "charles", "chuck": "charles", "carlos": "charles", "dolly": "dorothea", "dora": "dorothea", "thea": "dorothea", "dot": "dorothea",
-    "ed": "edward", "eddie": "edward", "ned": "edward", "ted": "edward", "teddy": "edward",
-    "bess": "elizabeth", "beth": "elizabeth", "betsy": "elizabeth", "betty": "elizabeth", "eliza": "elizabeth", "lisa": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth",
-    "paco": "francisco", "pancho": "francisco", "frank": "francisco", "cisco": "francisco",
-    "fred": "frederick", "freddy": "frederick", "fritz": "frederick", "rick": "frederick",
-    "gert": "gertrude", "gertie": "gertrude", "trudy": "gertrude", "beppe": "giuseppe", "pino": "giuseppe", "peppe": "giuseppe", "joe": "giuseppe",
-    "bella": "isabella", "isa": "isabella", "izzy": "isabella", "ella": "isabella",
-    "jim": "james", "jimmy": "james", "jamie": "james", "hans": "johannes", "jan": "johannes", "jo": "johannes", "john": "johannes",
-    "kate": "katherine", "kathy": "katherine", "kay": "katherine", "kitty": "katherine", "katie": "katherine",
-    "leo": "leopold", "poldi": "leopold", "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "greta": "margaret", "rita": "margaret",
-    "nick": "nicholas", "nico": "nicholas", "klaus": "nicholas", "otti": "ottilie", "tilly": "ottilie", "tillie": "ottilie",
-    "dick": "richard", "rich": "richard", "ricky": "richard", "bob": "robert", "bobby": "robert", "rob": "robert",
-    "theo": "theodore", "tom": "thomas", "tommy": "thomas", "ulla": "ursula", "uschi": "ursula",
-    "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "bill": "william", "billy": "william", "will": "william", "willy": "william", "liam": "william",
-    "yola": "yolanda", "yoli": "yolanda", "zac": "zachary", "zack": "zachary", "zak": "zachary",
+    "abraham": "abe", "albert": "al bert", "alexander": "alec alex sandy sascha xander", "alfred": "al alf fred", "andrew": "andy drew", "anthony": "tony", "antonio": "toni",
+    "barbara": "babs barb", "benjamin": "ben benny", "catherine": "cathy kate kitty", "charles": "charlie chuck carlos", "christina": "chris tina", "christopher": "chris kit",
+    "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "dorothea": "dolly dora dot thea", "dorothy": "dolly dot dottie",
+    "edward": "ed eddie ned ted teddy", "eleanor": "ellie nell nora", "elizabeth": "bess beth betsy betty eliza lisa liz lizzie", "ernest": "ernie", "eugene": "gene",
+    "florence": "flo florrie", "frances": "fanny fran", "francis": "frank", "francisco": "cisco paco pancho frank", "franklin": "frank", "frederick": "fred freddy fritz rick", "friedrich": "fritz",
+    "georg": "jorg", "gertrude": "gert gertie trudy", "giovanni": "gianni nino", "giuseppe": "beppe joe peppe pino", "gregory": "greg", "guillermo": "memo",
+    "harold": "hal harry", "heinrich": "heinz", "helen": "nell", "henry": "hal hank harry", "isabella": "bella ella isa izzy", "jacob": "jake", "james": "jamie jim jimmy",
+    "johannes": "hans jan jo john", "john": "jack johnny", "jonathan": "jon", "jose": "pepe", "joseph": "joe joey", "joshua": "josh", "katherine": "kate kathy katie kay kitty",
+    "lawrence": "larry", "leonard": "len lenny leo", "leopold": "leo poldi", "louis": "lou", "manuel": "manolo", "margaret": "greta maggie meg peggy rita", "martha": "patty",
+    "mary": "molly polly", "matthew": "matt", "michael": "mick mickey mike", "nathaniel": "nat", "nicholas": "klaus nick nico", "ottilie": "otti tillie tilly",
+    "pamela": "pam", "patricia": "pat patty", "patrick": "pat", "peter": "pete", "rebecca": "becky", "richard": "dick rich rick ricky", "robert": "bob bobby rob",
+    "ronald": "ron", "rosemary": "rose", "samuel": "sam", "sarah": "sally", "stephen": "steve", "susan": "sue susie", "theodore": "ted teddy theo", "thomas": "tom tommy",
+    "timothy": "tim", "ursula": "ulla uschi", "victoria": "tori vicki vicky", "vincent": "vince", "walter": "walt", "wilhelm": "willi", "william": "bill billy liam will willy",
+    "yolanda": "yola yoli", "zachary": "zac zack zak",
 }
-# Nicknames that stand for a second given name too.
-ALSO = {"ted": "theodore", "teddy": "theodore", "rick": "richard", "nell": "eleanor"}
 # Words of a name that tell nobody apart.
 IDLE = frozenset(
-    "a and by casa co comp company da dr ed edit editeur editor et inc limited ltd messrs miss mr mrs ms of prof rev s sa sir the trans translator und y".split()
+    "a and by casa co comp company da dr ed edit editeur editor et inc limited ltd messrs miss mr mrs ms of prof rev s sa sir the trans translator und y ag corp gmbh llc plc".split()
 )
 # Words that firms share.
 FIRM = frozenset(
-    "ancora bks book books buchhandlung casa edic edicoes edition editions hist historical house libreria librairie livros pr press pub publ publisher publishers "
-    "publishing sao soc societe society son sons univ universitaet universite university verlag verlagsbuchhandlung vlg".split()
+    "ancora bks book books bros brothers buchhandlung casa druckerei edic ediciones edicoes edition editions editora editorial forlag hist historical house imprenta imprimerie libreria librairie "
+    "livraria livros pr press presse presses printers printing pub publ publisher publishers publishing sao soc societe society son sons stamperia tipografia uitgeverij univ universitaet universite "
+    "university verlag verlagsbuchhandlung vlg".split()
 )
 # Short and other forms of the words that firms share.
 SYNONYMS = {
-    "bks": "books", "book": "books", "pr": "press", "pub": "publishing", "publ": "publishing", "publisher": "publishing", "publishers": "publishing",
+    "bks": "books", "book": "books", "bros": "brothers", "pr": "press", "pub": "publishing", "publ": "publishing", "publisher": "publishing", "publishers": "publishing",
     "univ": "university", "hist": "historical", "soc": "society", "edic": "editions", "edicoes": "editions", "edition": "editions", "son": "sons",
     "vlg": "verlag", "verlagsbuchhandlung": "verlag",
 }
@@ -94,6 +93,17 @@ TITLES = frozenset("dr mr mrs ms miss prof rev sir editor ed comp compiler trans
 PARTICLES = frozenset("da de del della der di du la le van vn von vom zu".split())
 
 
+GIVEN = frozenset(NICKNAMES)
+#: The names that a short form may stand for.
+FULL: dict[str, frozenset[str]] = {}
+for _name, _short in NICKNAMES.items():
+    for _nick in _short.split():
+        FULL[_nick] = FULL.get(_nick, frozenset()) | {_name}
+#: Words that count as common in any collection, and their weight where it is not measured.
+KNOWN = FIRM | GIVEN | frozenset(FULL)
+KNOWN_WEIGHT = 2.5
+
+
 def bands(similarity: float = SIMILAR, recall: float = RECALL, rows: int = ROWS) -> int:
     """Fewest bands of ``rows`` hashes that find ``recall`` of the pairs at ``similarity``.
 
@@ -111,10 +121,9 @@ def tokens(form: str) -> list[str]:
     return fold(YEAR.sub("", form)).split()
 
 
-GIVEN = frozenset(NICKNAMES.values())
-#: Words that count as common in any collection, and their weight where it is not measured.
-KNOWN = FIRM | GIVEN | frozenset(NICKNAMES)
-KNOWN_WEIGHT = 2.5
+def full_names(token: str) -> frozenset[str]:
+    """A token and the names that it may be short for."""
+    return FULL.get(token, frozenset()) | {token}
 
 
 def token_likeness(a: str, b: str, shortened: bool = True) -> float:
@@ -124,7 +133,7 @@ def token_likeness(a: str, b: str, shortened: bool = True) -> float:
     """
     if a == b:
         return 1.0
-    if NICKNAMES.get(a, a) == NICKNAMES.get(b, b) or a in ALSO and ALSO[a] in (b, NICKNAMES.get(b)) or b in ALSO and ALSO[b] in (a, NICKNAMES.get(a)):
+    if full_names(a) & full_names(b):
         return 0.95
     short, long = sorted((a, b), key=len)
     if shortened and short and short[0] == long[0]:
@@ -147,12 +156,15 @@ class Vocabulary:
     """The common words of a field: their weights, and what a misspelt one stands for."""
 
     def __init__(self, measured: dict[str, float]):
-        self.weights = {w: KNOWN_WEIGHT for w in KNOWN} | measured
+        self.weights, self.measured = {w: KNOWN_WEIGHT for w in KNOWN} | measured, measured
         self.by_length: dict[int, list[str]] = {}
         for w in sorted(self.weights):
             if len(w) >= 4:
                 self.by_length.setdefault(len(w), []).append(w)
         self.short = {"".join(sorted(w)): w for w in sorted(self.weights) if len(w) == 3}
+        self.begins: dict[str, list[str]] = {}
+        for w in self.weights:
+            self.begins.setdefault(w[:2], []).append(w)
         self.settled: dict[str, str] = {}
 
     def settle(self, token: str) -> str:
@@ -166,24 +178,58 @@ class Vocabulary:
         return found
 
     def _common(self, token: str) -> str:
+        if any(w.startswith(token) for w in self.begins.get(token[:2], ())):
+            return token  # an abbreviation
         if len(token) < 4:
             return self.short.get("".join(sorted(token)), token)
         most = 2 if len(token) >= 9 else 1
         near = [
-            (n, self.weights[w], w) for size in range(len(token) - most, len(token) + most + 1) for w in self.by_length.get(size, ())
+            (n, w not in self.measured, self.weights[w], w) for size in range(len(token) - most, len(token) + most + 1) for w in self.by_length.get(size, ())
             for n in range(1, most + 1) if within_edits(token, w, n)
         ]
-        return min(near)[2] if near else token
+        return min(near)[3] if near else token
 
     def tokens(self, form: str) -> list[str]:
         return [self.settle(t) for t in tokens(form)]
 
-    def core(self, form: str) -> str:
-        """The tokens that are not common, sorted; all of them where there is no other."""
-        every = self.tokens(form)
+    def core(self, every: list[str]) -> str:
+        """The settled tokens that are not common, sorted; all of them where there is no other."""
         found = sorted({t for t in every if t not in self.weights and t not in IDLE and len(t) > 2})
         return " ".join(found or sorted(set(every)))
 
+    def plain(self, form: str, is_person: bool) -> str:
+        """The plain form: spellings that share it differ in nothing that tells anybody apart."""
+        if is_person:
+            surname, given = person(form)
+            if surname:
+                return " ".join(map(self.settle, surname)) + ", " + " ".join(map(self.settle, given))
+        every = self.tokens(form)
+        return " ".join(sorted(t for t in every if t not in IDLE) or sorted(every))
+
+    def blocks(self, form: str, is_person: bool) -> tuple[list[str], list[str]]:
+        """The blocks of a form as the left and as the right one of a pair.
+
+        Two forms meet if one has nothing to block on, if both have a name or word that
+        begins or ends alike, or if one has an initial that the other's name begins with.
+        """
+        if is_person:
+            _, given = person(form)
+            names = full_names(given[0]) | full_names(self.settle(given[0])) if given else frozenset()
+            ends = {x for n in names if len(n) > 1 for x in ("p" + n[:2], "s" + n[-2:])}
+            short = bool(given) and len(given[0]) <= SHORT
+            first = {n[0] for n in names}
+        else:
+            every = self.tokens(form)
+            core = set(self.core(every).split())
+            ends = {"f" + n[0] for t in every if t not in core and t not in IDLE for n in full_names(t)}
+            short, first, names = False, set(), ends
+        if not names:
+            return ["n", "N"], ["n", "N"]
+        one = {"i" + c for c in first}
+        other = {"I" + c for c in first}
+        both = one | other if short else set()
+        return sorted(ends | one | both | {"n"}), sorted(ends | other | both | {"N"})
+
 
 def monge_elkan(a: list[str], b: list[str], weights: dict[str, float]) -> float:
     """Weighted Monge-Elkan similarity, the better of both directions; idle words are skipped.
@@ -224,10 +270,10 @@ def person(form: str) -> tuple[list[str], list[str]]:
     return fold(" ".join(surname)).split(), fold(" ".join(given)).split()
 
 
-def same_person(a: str, b: str) -> bool:
-    """Whether no given name of one contradicts the other's, position by position."""
+def same_person(a: str, b: str, words: Vocabulary) -> bool:
+    """Whether no given name of one contradicts the other's, position by position, as spelt or settled."""
     (_, x), (_, y) = person(a), person(b)
-    return all(token_likeness(s, t) > 0 for s, t in zip(x, y))
+    return all(token_likeness(s, t) > 0 or token_likeness(words.settle(s), words.settle(t)) > 0 for s, t in zip(x, y))
 
 
 def fullness(form: str) -> int:
@@ -280,10 +326,16 @@ def common_tokens(spellings: DataFrame) -> dict[str, dict[str, float]]:
 
     At most tokens-a-spelling / ``COMMON_SHARE`` tokens a field can be common.
     """
-    split = F.udf(lambda form: sorted(set(tokens(form))), "array<string>")
-    counts = spellings.select("field_name", F.explode(split("form")).alias("token")).groupBy("field_name", "token").agg(F.count(F.lit(1)).alias("n"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(n, t) for n, f in zip(batch["field_name"], batch["form"]) for t in set(tokens(f))]
+            yield pd.DataFrame(rows, columns=["field_name", "token"])
+
+    counts = spellings.select("field_name", "form").mapInPandas(split, "field_name string, token string").groupBy("field_name", "token").agg(F.count(F.lit(1)).alias("n"))
     totals = spellings.groupBy("field_name").agg(F.count(F.lit(1)).alias("total"))
-    common = counts.join(F.broadcast(totals), "field_name").where((F.col("n") >= COMMON_LEAST) & (F.col("n") >= F.col("total") * COMMON_SHARE))
+    sure = F.col("n") - 2 * F.sqrt("n") >= F.col("total") * COMMON_SHARE
+    common = counts.join(F.broadcast(totals), "field_name").where(sure)  # one row a field
     out: dict[str, dict[str, float]] = {}
     for r in common.collect():
         out.setdefault(r.field_name, {})[r.token] = min(4.0, max(1.0, math.log(r.total / r.n)))
@@ -303,144 +355,117 @@ def shortened(token: str) -> set[str]:
     return out
 
 
-def edited_cores(cores: DataFrame) -> DataFrame:
-    """``field_name, core_a, core_b`` with ``core_a < core_b``: all pairs that differ in one token by edits that are accepted.
+def edit_buckets(core: str) -> set[int]:
+    """Hashes of a core with one token shortened: cores that differ in one token by accepted edits share one."""
+    words = core.split()
+    return {_hash(" ".join(words[:i] + words[i + 1 :]) + "|" + s) - (1 << 63) for i, t in enumerate(words) for s in shortened(t)}
+
+
+def similar_cores(cores: DataFrame) -> DataFrame:
+    """``field_name, core_a, core_b`` with ``core_a < core_b``: the agreeing pairs of distinct cores.
 
-    Exact: each core meets others on a token without some letters beside its remaining tokens.
+    Buckets of bands and of edits are one table of two numbers a row, joined once; its pairs
+    are made distinct before any name is looked up.
     """
+    n_bands = bands()
+    numbered = cut_lineage(cores.select("field_name", "core", F.xxhash64("field_name", "core").alias("id")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = MinHash(n_bands)
         for batch in batches:
-            rows = []
-            for name, core in zip(batch["field_name"], batch["core"]):
-                words = core.split()
-                found = {(" ".join(words[:i] + words[i + 1 :]), s) for i, t in enumerate(words) for s in shortened(t)}
-                rows += [(name, core, _hash("|".join(x)) - (1 << 63)) for x in found]
-            yield pd.DataFrame(rows, columns=["field_name", "core", "bucket"])
+            ids, buckets = [], []
+            for name, core, at in zip(batch["field_name"], batch["core"], batch["id"]):
+                salt = _hash(name)
+                found = [hash((salt, 0, x)) for x in edit_buckets(core)]
+                found += [hash((salt, band + 1, x)) for band, x in enumerate(hasher.bands(qgrams(core)))]
+                buckets += found
+                ids += [at] * len(found)
+            yield pd.DataFrame({"bucket": np.array(buckets, dtype=np.int64), "id": np.array(ids, dtype=np.int64)})
+
+    keyed = cut_lineage(spread(numbered).mapInPandas(run, "bucket bigint, id bigint"))
+    pairs = keyed.alias("a").join(keyed.alias("b"), "bucket").where("a.id < b.id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    named = pairs.join(numbered.select("field_name", F.col("core").alias("one"), F.col("id").alias("id_a")), "id_a")
+    named = named.join(numbered.select(F.col("core").alias("two"), F.col("id").alias("id_b")), "id_b")
+    named = named.select("field_name", F.least("one", "two").alias("core_a"), F.greatest("one", "two").alias("core_b"))
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch["core_a"], batch["core_b"]):
-                one, two = list((Counter(a.split()) - Counter(b.split())).elements()), list((Counter(b.split()) - Counter(a.split())).elements())
-                keep.append(len(one) == len(two) == 1 and token_likeness(one[0], two[0], False) > 0)
-            yield batch[keep]
+            yield batch[[monge_elkan(a.split(), b.split(), {}) >= CORE_ALIKE for a, b in zip(batch["core_a"], batch["core_b"])]]
 
-    keyed = cut_lineage(spread(cores).mapInPandas(run, "field_name string, core string, bucket bigint"))
-    on = ["field_name", "bucket"]
-    met = keyed.alias("a").join(keyed.alias("b"), on).where("a.core < b.core").select("field_name", F.col("a.core").alias("core_a"), F.col("b.core").alias("core_b")).distinct()
-    return met.mapInPandas(near, "field_name string, core_a string, core_b string")
+    return spread(named).mapInPandas(agreeing, "field_name string, core_a string, core_b string")
 
 
-def similar_cores(cores: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
-    """``field_name, core_a, core_b`` with ``core_a < core_b``: candidate pairs of distinct cores."""
-    n_bands = bands()
+FORMS = "field_name string, key string, form string, core string, plain string, rank int"
+
+
+def plain_forms(spellings: DataFrame, shared) -> DataFrame:
+    """``field_name, key, form, core, plain, rank`` of every spelling; ``shared`` has the common words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = MinHash(n_bands)
-        for batch in batches:
-            hashed = [hasher.bands(qgrams(c)) for c in batch["core"]]
-            yield pd.DataFrame(
-                {
-                    "field_name": np.repeat(batch["field_name"].to_numpy(), n_bands),
-                    "core": np.repeat(batch["core"].to_numpy(), n_bands),
-                    "band": np.tile(np.arange(n_bands, dtype=np.int32), len(batch)),
-                    "bucket": [h for row in hashed for h in row],
-                }
-            )
-
-    banded = cut_lineage(spread(cores).mapInPandas(run, "field_name string, core string, band int, bucket bigint"))
-    on = ["field_name", "band", "bucket"]
-    sizes = banded.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = banded.alias("a").join(banded.alias("b"), on).where("a.core < b.core").select("field_name", F.col("a.core").alias("core_a"), F.col("b.core").alias("core_b"))
-    crowded = cut_lineage(banded.join(sizes.where(F.col("n") > most_in_bucket), on, "left_semi").select("field_name", "core").distinct())
-    return near.distinct() if crowded.isEmpty() else near.unionByName(prefix_join(crowded)).distinct()
-
-
-def prefix_join(cores: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """All pairs of cores with Jaccard similarity of q-grams of at least ``similarity``, exactly.
-
-    Two such sets share a gram among the rarest ``n - ceil(similarity * n) + 1`` of each.
-    """
-    split = F.udf(lambda c: sorted(qgrams(c)), "array<string>")
-    exploded = cores.withColumn("grams", split("core")).select("field_name", "core", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    frequency = exploded.groupBy("field_name", "gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(frequency, ["field_name", "gram"]).selectExpr(
-        "*", "row_number() over (partition by field_name, core order by df, gram) as place"
-    )
-    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity) + 1).select("field_name", "core", "n", "gram")
-    pairs = (
-        prefix.alias("a")
-        .join(prefix.alias("b"), ["field_name", "gram"])
-        .where(f"a.core < b.core and a.n >= b.n * {similarity} and b.n >= a.n * {similarity}")
-        .select("field_name", F.col("a.core").alias("core_a"), F.col("b.core").alias("core_b"))
-        .distinct()
-    )
-    overlap = F.udf(lambda a, b: len(qgrams(a) & qgrams(b)) / len(qgrams(a) | qgrams(b)), "double")
-    return pairs.where(overlap("core_a", "core_b") >= similarity)
-
-
-def links(spellings: DataFrame, most_in_core: int = MOST_IN_CORE) -> DataFrame:
-    """``field_name, key_a, key_b, likeness`` of ``spellings(field_name, key, form)``, verified; ``key_a < key_b``."""
-    common = common_tokens(spellings)
-    shared = spellings.sparkSession.sparkContext.broadcast(common)
-
-    def vocabularies(batch: pd.DataFrame, known: dict[str, Vocabulary]) -> list[Vocabulary]:
-        for n in batch["field_name"].unique():
-            if n not in known:
-                known[n] = Vocabulary(shared.value.get(n, {}))
-        return [known[n] for n in batch["field_name"]]
-
-    def with_core(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Vocabulary] = {}
         for batch in batches:
-            words = vocabularies(batch, known)
-            core = [v.core(f) for v, f in zip(words, batch["form"])]
-            letters = [sorted({c for t in tokens(f) for c in NICKNAMES.get(v.settle(t), t)[:2] + v.settle(t)[:2] + t[:2]}) for v, f in zip(words, batch["form"])]
-            yield batch.assign(core=core, letters=letters)
+            rows = []
+            for name, key, form in zip(batch["field_name"], batch["key"], batch["form"]):
+                words = vocabulary(known, shared, name)
+                is_person = name == PERSONS
+                rows.append((name, key, form, words.core(words.tokens(form)), words.plain(form, is_person), fullness(form) if is_person else 0))
+            yield pd.DataFrame(rows, columns=["field_name", "key", "form", "core", "plain", "rank"])
 
-    schema = "field_name string, key string, form string, core string, letters array<string>"
-    cored = cut_lineage(spread(spellings.select("field_name", "key", "form")).mapInPandas(with_core, schema))
+    return spread(spellings.select("field_name", "key", "form")).mapInPandas(run, FORMS)
 
-    def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+#: The field whose names are persons.
+PERSONS = "first_author"
+
+
+def vocabulary(known: dict[str, Vocabulary], shared, name: str) -> Vocabulary:
+    if name not in known:
+        known[name] = Vocabulary(shared.value.get(name, {}))
+    return known[name]
+
+
+def met_pairs(nodes: DataFrame, shared) -> DataFrame:
+    """The pairs of plain forms that are verified, each once: ``field_name, plain_a, plain_b, form_a, form_b``."""
+
+    def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Vocabulary] = {}
         for batch in batches:
-            keep = [monge_elkan(a.split(), b.split(), {}) >= 0.75 for a, b in zip(batch["core_a"], batch["core_b"])]
-            yield batch[keep]
-
-    cores = cored.select("field_name", "core").distinct()
-    candidates = similar_cores(cores).unionByName(edited_cores(cores)).distinct()
-    pairs = spread(candidates).mapInPandas(agreeing, "field_name string, core_a string, core_b string")
-    groups = cores.select("field_name", F.col("core").alias("core_a"), F.col("core").alias("core_b")).unionByName(pairs)
-    # small cores meet on one block, crowded ones on the letters of their given names
-    sizes = cored.groupBy("field_name", "core").agg((F.count(F.lit(1)) > most_in_core).alias("crowded"))
-    both = groups.join(sizes.withColumnsRenamed({"core": "core_a", "crowded": "crowded_a"}), ["field_name", "core_a"])
-    both = both.join(sizes.withColumnsRenamed({"core": "core_b", "crowded": "crowded_b"}), ["field_name", "core_b"])
-    both = both.withColumn("blocked", F.col("crowded_a") | F.col("crowded_b")).drop("crowded_a", "crowded_b")
-    block = F.explode(F.when(F.col("blocked"), F.col("letters")).otherwise(F.array(F.lit("*"))))
-    left = both.join(cored.withColumnRenamed("core", "core_a"), ["field_name", "core_a"])
-    left = left.select("field_name", "core_a", "core_b", "blocked", F.col("key").alias("key_a"), F.col("form").alias("form_a"), block.alias("block"))
-    right = both.select("field_name", "core_b", "blocked").distinct().join(cored.withColumnRenamed("core", "core_b"), ["field_name", "core_b"])
-    right = right.select("field_name", "core_b", "blocked", F.col("key").alias("key_b"), F.col("form").alias("form_b"), block.alias("block"))
-    met = left.join(right, ["field_name", "core_b", "blocked", "block"])
-    met = met.where("key_a <> key_b and (core_a <> core_b or key_a < key_b)").select("field_name", "key_a", "key_b", "form_a", "form_b")
+            found = [vocabulary(known, shared, n).blocks(f, n == PERSONS) for n, f in zip(batch["field_name"], batch["form"])]
+            yield batch.assign(left=[a for a, _ in found], right=[b for _, b in found])
+
+    schema = "field_name string, plain string, core string, form string, left array<string>, right array<string>"
+    given = cut_lineage(nodes.select("field_name", "plain", "core", "form").mapInPandas(blocked, schema))
+    cores = nodes.select("field_name", "core").distinct()
+    groups = cut_lineage(cores.select("field_name", F.col("core").alias("core_a"), F.col("core").alias("core_b")).unionByName(similar_cores(cores)))
+    one = given.select("field_name", F.col("core").alias("core_a"), F.col("plain").alias("plain_a"), F.col("form").alias("form_a"), "left")
+    two = given.select("field_name", F.col("core").alias("core_b"), F.col("plain").alias("plain_b"), F.col("form").alias("form_b"), "right")
+    left = groups.join(one, ["field_name", "core_a"]).withColumn("block", F.explode("left"))
+    right = two.withColumn("block", F.explode("right"))
+    met = left.join(right, ["field_name", "core_b", "block"])
+    first = F.col("block") == F.array_min(F.array_intersect("left", "right"))
+    met = met.where(first & ((F.col("core_a") != F.col("core_b")) | (F.col("plain_a") < F.col("plain_b"))))
+    return met.select("field_name", "plain_a", "plain_b", "form_a", "form_b")
+
+
+def links(nodes: DataFrame, shared) -> DataFrame:
+    """``field_name, key_a, key_b, likeness`` of plain forms that mean the same; ``key_a < key_b``."""
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Vocabulary] = {}
         for batch in batches:
             rows = []
-            columns = (batch[c] for c in ("field_name", "key_a", "key_b", "form_a", "form_b"))
-            for words, name, ka, kb, fa, fb in zip(vocabularies(batch, known), *columns):
+            for name, ka, kb, fa, fb in zip(*(batch[c] for c in ("field_name", "plain_a", "plain_b", "form_a", "form_b"))):
+                words = vocabulary(known, shared, name)
                 likeness = monge_elkan(words.tokens(fa), words.tokens(fb), words.weights)
-                if likeness >= ALIKE and (name != "first_author" or same_person(fa, fb)):
+                if likeness >= ALIKE and (name != PERSONS or same_person(fa, fb, words)):
                     rows.append((name, min(ka, kb), max(ka, kb), likeness))
             yield pd.DataFrame(rows, columns=["field_name", "key_a", "key_b", "likeness"])
 
-    found = spread(met).mapInPandas(verified, "field_name string, key_a string, key_b string, likeness double")
-    return found.groupBy("field_name", "key_a", "key_b").agg(F.max("likeness").alias("likeness"))
+    return spread(met_pairs(nodes, shared)).mapInPandas(verified, "field_name string, key_a string, key_b string, likeness double")
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``field_name, key, centre`` for every node; ``nodes(field_name, key, rank)``.
+    """``field_name, key, centre, links`` for every node; ``nodes(field_name, key, rank)``.
 
     Each round the unassigned nodes that lead all their unassigned neighbours in (rank,
     links, key) become centres and their neighbours join the leading centre.  Every round
@@ -450,36 +475,46 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select("field_name", F.col("key_a").alias("key"), F.col("key_b").alias("other"))
     ends = cut_lineage(ends.unionByName(edges.select("field_name", F.col("key_b").alias("key"), F.col("key_a").alias("other"))))
     degree = ends.groupBy(*on).agg(F.count(F.lit(1)).alias("links"))
-    led = nodes.join(degree, on).select(*on, F.struct("rank", "links", "key").alias("lead"))
-    alone = nodes.join(degree, on, "left_anti").select(*on, F.col("key").alias("centre"))
-    left = cut_lineage(led)
+    led = cut_lineage(nodes.join(degree, on, "left").select(*on, F.coalesce("links", F.lit(0)).alias("links"), F.struct("rank", F.coalesce("links", F.lit(0)).alias("links"), "key").alias("lead")))
+    lead = led.select(*on, "lead")
+    live = cut_lineage(ends.join(lead, on).join(lead.select("field_name", F.col("key").alias("other"), F.col("lead").alias("other_lead")), ["field_name", "other"]))
     done = None
-    while not left.isEmpty():
-        others = left.select("field_name", F.col("key").alias("other"), F.col("lead").alias("other_lead"))
-        live = ends.join(left, on).join(others, ["field_name", "other"])
-        best = live.groupBy(*on).agg(F.max("other_lead").alias("best"))
-        centres = left.join(best, on, "left").where("best is null or lead > best").select(*on, "lead")
-        joined = ends.join(centres.select("field_name", F.col("key").alias("other"), "lead"), ["field_name", "other"])
-        joined = joined.join(left.select(*on), on, "left_semi").groupBy(*on).agg(F.max("lead")["key"].alias("centre"))
-        now = cut_lineage(joined.unionByName(centres.select(*on, F.col("key").alias("centre"))))
+    while not live.isEmpty():
+        # a node with live neighbours that leads them all is a centre
+        best = live.groupBy(*on).agg(F.max("other_lead").alias("best"), F.first("lead").alias("lead"))
+        centres = best.where("lead > best").select("field_name", F.col("key").alias("other"))
+        joined = live.join(centres, ["field_name", "other"], "left_semi").groupBy(*on).agg(F.max("other_lead")["key"].alias("centre"))
+        now = cut_lineage(joined.unionByName(centres.select("field_name", F.col("other").alias("key"), F.col("other").alias("centre"))))
         done = now if done is None else done.unionByName(now)
-        left = cut_lineage(left.join(now, on, "left_anti"))
-    return alone if done is None else done.unionByName(alone)
+        gone = now.select(*on)
+        live = live.join(gone, on, "left_anti").join(gone.withColumnRenamed("key", "other"), ["field_name", "other"], "left_anti")
+        live = cut_lineage(live)
+    if done is None:
+        return led.select(*on, F.col("key").alias("centre"), "links")
+    return led.join(done, on, "left").select(*on, F.coalesce("centre", "key").alias("centre"), "links")
 
 
-def clusters(rows: DataFrame) -> DataFrame:
-    """``field_name, key, centre`` for every spelling of ``rows(field_name, row_id, key, form)``."""
-    spellings = cut_lineage(rows.groupBy("field_name", "key").agg(F.min("form").alias("form")))
-    edges = cut_lineage(links(spellings))
-    rank = F.udf(fullness, "int")
-    return star_clusters(spellings.select("field_name", "key", rank("form").alias("rank")), edges)
+def clusters(spellings: DataFrame) -> DataFrame:
+    """``field_name, key, form, plain, centre, links`` for every spelling of ``spellings(field_name, key, form)``.
+
+    ``centre`` names the class, ``links`` counts the verified links of the spelling's plain form.
+    """
+    shared = spellings.sparkSession.sparkContext.broadcast(common_tokens(spellings))
+    plain = cut_lineage(plain_forms(spellings, shared))
+    # the fullest spelling stands for its plain form
+    best = F.max(F.struct("rank", "form", "core"))
+    nodes = cut_lineage(plain.groupBy("field_name", "plain").agg(best.alias("b")).select("field_name", "plain", "b.*"))
+    edges = cut_lineage(links(nodes, shared))
+    stars = star_clusters(nodes.select("field_name", F.col("plain").alias("key"), "rank"), edges).withColumnRenamed("key", "plain")
+    return plain.select("field_name", "key", "form", "plain").join(stars, ["field_name", "plain"])
 
 
-def damaged_keys(rows: DataFrame) -> DataFrame:
+def damaged_keys(spellings: DataFrame) -> DataFrame:
     """``field_name, key`` of spellings that are another, twice as frequent one read in the wrong encoding.
 
-    An exact check for marks that were read as letters before their own: the letters alone
-    can look likely, but the spelling without them is there.
+    ``spellings(field_name, key, form, n)``, ``n`` the rows.  An exact check for marks that
+    were read as letters before their own: the letters alone can look likely, but the
+    spelling without them is there.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -487,19 +522,20 @@ def damaged_keys(rows: DataFrame) -> DataFrame:
             found = [(n, k, spelling_key(other), c) for n, k, f, c in zip(batch["field_name"], batch["key"], batch["form"], batch["n"]) if not f.isascii() and (other := ansel(f))]
             yield pd.DataFrame(found, columns=["field_name", "key", "other", "n"])
 
-    counts = cut_lineage(rows.groupBy("field_name", "key").agg(F.min("form").alias("form"), F.count(F.lit(1)).alias("n")))
-    suspects = counts.mapInPandas(run, "field_name string, key string, other string, n bigint").where("key <> other")
-    known = counts.select("field_name", F.col("key").alias("other"), F.col("n").alias("support"))
+    suspects = spellings.mapInPandas(run, "field_name string, key string, other string, n bigint").where("key <> other")
+    known = spellings.select("field_name", F.col("key").alias("other"), F.col("n").alias("support"))
     return suspects.join(known, ["field_name", "other"]).where("support >= 2 * n").select("field_name", "key").distinct()
 
 
 def variant_pairs(rows: DataFrame, found: DataFrame, salts: int = 16) -> DataFrame:
     """``field_name, rec_a, rec_b``: rows of one cluster in different spellings, each pair once.
 
-    Only clusters of two or more spellings are joined; rows of hot clusters are salted.
+    ``rows(field_name, row_id, key)``.  Only clusters of two or more spellings are joined;
+    rows of hot clusters are salted.  The pairs are as many as the clusters say: where only
+    the classes matter, :func:`clusters` has one row a spelling.
     """
-    several = found.groupBy("field_name", "centre").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = found.join(several, ["field_name", "centre"])
+    several = found.groupBy("field_name", "centre").agg(F.count_distinct("key").alias("n")).where("n > 1").drop("n")
+    members = found.select("field_name", "key", "centre").join(several, ["field_name", "centre"])
     named = cut_lineage(rows.select("field_name", "row_id", "key").distinct().join(members, ["field_name", "key"]))
     left = named.select("field_name", "centre", F.col("row_id").alias("rec_a"), F.col("key").alias("key_a"))
     right = named.select("field_name", "centre", F.col("row_id").alias("rec_b"), F.col("key").alias("key_b"))

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import clean_string
 from folioforge.llm import canonical, frequency, leakage, lookalike, mojibake, names, packing, toxicity
 from folioforge.operators import multivalue
 from folioforge.operators.skew import salted_join
-from folioforge.plans.records import packed_elements, place_compounds
+from folioforge.plans.records import packed_elements, place_lexicon
 from folioforge.session import cut_lineage, spread, table
 
 
@@ -67,10 +68,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_terms(spark, sf_dir).where("mark is not null").select("field_name", "term", "mark")
 
 
-#: Cosine from which an entry is a candidate, and its lead over the next.
-PLACE_THRESHOLD, PLACE_MARGIN = 0.15, 0.03
-# Abbreviations of words in place names.
-PLACE_WORDS = {"ft": "fort", "st": "saint", "mt": "mount", "pt": "port", "hts": "heights", "spgs": "springs"}
+#: Cosine from which an entry is accepted, and its lead over the next.
+PLACE_THRESHOLD, PLACE_MARGIN = 0.57, 0.015
+# Usual abbreviations of words in place names.
+PLACE_WORDS = {
+    "crk": "creek", "ft": "fort", "gr": "grand", "hbr": "harbor", "hts": "heights", "is": "island", "jct": "junction", "lk": "lake", "lndg": "landing",
+    "mt": "mount", "mtn": "mountain", "pk": "park", "pt": "port", "riv": "river", "spgs": "springs", "st": "saint", "ste": "sainte", "twp": "township", "vlg": "village", "vly": "valley",
+}
 
 
 def gazetteer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,43 +87,53 @@ def gazetteer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ref_key, form``: the entries of the 008 crosswalk as they are written."""
-    spell = F.udf(lambda name: sorted(canonical.name_forms(name)), "array<string>")
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(k, f) for k in batch["ref_key"] for f in sorted(canonical.name_forms(k))], columns=["ref_key", "form"])
+
     entries = table(spark, sf_dir, "marc_place_008_geonames").select(F.col("place_name_008").alias("ref_key"))
-    return entries.where("ref_key is not null").withColumn("form", F.explode(spell("ref_key"))).distinct()
+    return entries.where("ref_key is not null").mapInPandas(spell, "ref_key string, form string").distinct()
 
 
-def _place_values(pairs: DataFrame, compounds: dict[str, list[str]]) -> DataFrame:
-    """Adds ``value``, the typed place with damage undone, to ``places, places_clean``; packed strings are dropped."""
-    named = pairs.select(F.col("places").alias("value"))
-    shared = pairs.sparkSession.sparkContext.broadcast((mojibake.fit(named), lookalike.fit(named)))
+def _place_values(pairs: DataFrame, every: DataFrame, names: multivalue.Lexicon) -> DataFrame:
+    """Adds ``value``, the typed place with damage undone, to distinct ``places, places_clean``; packed strings are dropped.
+
+    ``every`` has all typed places, from which the damage is judged.
+    """
+    damaged = mojibake.repairs(every.select(F.col("places").alias("value"))).withColumnRenamed("value", "places").drop("undone").withColumn("garbled", F.lit(True))
+    joined = multivalue.with_hints(pairs, "places", names).join(damaged, "places", "left")
+    shared = pairs.sparkSession.sparkContext.broadcast(lookalike.fit(every.select(F.col("places").alias("value"))))
+    lists = (names.listed, names.regions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore, unify = mojibake.Restorer(shared.value[0]), lookalike.Unifier(shared.value[1])
-        split = multivalue.Splitter(multivalue.Grammar(True, compounds["places"]))
+        unify = lookalike.Unifier(shared.value)
+        split = multivalue.Splitter(multivalue.Grammar(True, *lists))
         for batch in batches:
             rows = []
-            for typed, clean in zip(batch["places"], batch["places_clean"]):
-                if len(split(typed).values) > 1:
+            for typed, clean, guards, known, restored, garbled in zip(*(batch[c] for c in ("places", "places_clean", "guards", "known", "restored", "garbled"))):
+                if len(split(typed, guards, known).values) > 1:
                     continue
                 value = clean
                 if typed is not None and not typed.isascii():
-                    garbled, restored, _ = restore(typed)
-                    form = (restored or typed.replace("\ufffd", "")) if garbled else unify(typed)
+                    form = (restored or typed.replace("\ufffd", "")) if garbled is True else unify(typed)
                     if form != typed:
                         value = form
                 rows.append((typed, clean, canonical.fold(value)))
             yield pd.DataFrame(rows, columns=["places", "places_clean", "value"])
 
-    return spread(pairs).mapInPandas(run, "places string, places_clean string, value string")
+    return spread(joined).mapInPandas(run, "places string, places_clean string, value string")
 
 
 def p4_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct typed place that is no exact name: ``places, places_clean, ref_key, score``."""
-    clean = F.udf(multivalue.key, "string")
-    names = table(spark, sf_dir, "gazetteer").where("name is not null").select(clean("name").alias("places_clean")).distinct()
-    typed = table(spark, sf_dir, "imprint_places").where(F.col("places_clean").rlike(r"(?U)\S"))
+    rows = table(spark, sf_dir, "imprint_places")
+    names = table(spark, sf_dir, "gazetteer").where("name is not null").select(clean_string(F.col("name")).alias("places_clean")).distinct()
+    typed = rows.where(F.col("places_clean").rlike(r"(?U)\S"))
     pairs = typed.select("places", "places_clean").distinct().join(names, "places_clean", "left_anti").select("places", "places_clean")
-    values = _place_values(pairs, place_compounds(spark, sf_dir)).where("value is not null")
+    every = rows.where("places is not null").select("places").distinct()
+    # read twice, and costly to make
+    values = cut_lineage(_place_values(pairs, every, place_lexicon(spark, sf_dir)).where("value is not null"))
     forms = gazetteer_forms(spark, sf_dir)
     mapped = canonical.map_values(spread(values.select("value").distinct()), forms, PLACE_THRESHOLD, PLACE_MARGIN, PLACE_WORDS)
     return values.join(mapped, "value").select("places", "places_clean", "ref_key", "score")
@@ -130,7 +144,7 @@ def p4_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "marc_place_008_geonames").select("place_name_008").where("place_name_008 is not null")
     typed = table(spark, sf_dir, "imprint_places").where("place_name_008 is not null").select("place_name_008").distinct()
     values = typed.join(entries, "place_name_008", "left_anti").select(F.col("place_name_008").alias("value"))
-    mapped = canonical.map_values(values, region_forms(spark, sf_dir), PLACE_THRESHOLD, PLACE_MARGIN)
+    mapped = canonical.map_values(values, region_forms(spark, sf_dir), PLACE_THRESHOLD, PLACE_MARGIN, cut_words=True)
     return mapped.withColumnRenamed("value", "place_name_008")
 
 
@@ -152,52 +166,63 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.unionByName(regions)
 
 
-def _spelt(elements: DataFrame) -> DataFrame:
-    """``field_name, row_id, key, form``; garbled and packed publishers are left out."""
-    publishers = elements.where("field_name = 'publishers'")
-    shared = elements.sparkSession.sparkContext.broadcast((mojibake.fit(publishers), lookalike.fit(elements)))
+def _spelt(values: DataFrame, elements: DataFrame) -> DataFrame:
+    """``field_name, value, key, form, n`` of distinct names; garbled and packed publishers are left out.
+
+    The model of damage is that of all ``elements``, as for problem 3.
+    """
+    publishers = values.where("field_name = 'publishers'").select("value")
+    damaged = mojibake.repairs(publishers, mojibake.fit(elements)).select(F.lit("publishers").alias("field_name"), "value")
+    shared = values.sparkSession.sparkContext.broadcast(lookalike.fit(values))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore, unify = mojibake.Restorer(shared.value[0]), lookalike.Unifier(shared.value[1])
+        unify = lookalike.Unifier(shared.value)
         split = multivalue.Splitter(multivalue.Grammar(False))
-        memo: dict[tuple[str, str], tuple[str, str]] = {}
         for batch in batches:
             rows = []
-            for name, row, value in zip(batch["field_name"], batch["row_id"], batch["value"]):
-                found = memo.get((name, value))
-                if found is None:
-                    if len(memo) >= mojibake.MEMO:
-                        memo.clear()
-                    left_out = name == "publishers" and (restore(value)[0] or len(split(value).values) > 1)
-                    form = "" if left_out else unify(value)
-                    found = memo[name, value] = (names.spelling_key(form), form)
-                if found[0]:
-                    rows.append((name, row, *found))
-            yield pd.DataFrame(rows, columns=["field_name", "row_id", "key", "form"])
-
-    schema = "field_name string, row_id bigint, key string, form string"
-    return elements.where("value is not null").select("field_name", "row_id", "value").mapInPandas(run, schema)
-
-
-def _named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+            for name, value in zip(batch["field_name"], batch["value"]):
+                if name == "publishers" and len(split(value).values) > 1:
+                    continue
+                form = unify(value)
+                if key := names.spelling_key(form):
+                    rows.append((name, value, key, form))
+            yield pd.DataFrame(rows, columns=["field_name", "value", "key", "form"])
+
+    whole = values.join(damaged, ["field_name", "value"], "left_anti")
+    return spread(whole.select("field_name", "value", "n")).mapInPandas(run, "field_name string, value string, key string, form string").join(values, ["field_name", "value"])
+
+
+def _named_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of names, and ``field_name, value, key, form, n`` of each distinct one that counts."""
     records = table(spark, sf_dir, "marc_records")
     authors = records.select(F.lit("first_author").alias("field_name"), F.col("rec_id").alias("row_id"), F.col("first_author").alias("value"))
     firms = records.select(F.lit("publishers").alias("field_name"), F.col("rec_id").alias("row_id"), F.explode("publishers").alias("value"))
-    rows = cut_lineage(_spelt(authors.unionByName(firms)))
+    rows = authors.unionByName(firms).where("value is not null")
+    values = cut_lineage(rows.groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    spelt = cut_lineage(_spelt(values, packed_elements(spark, sf_dir)))
     # garbled elements are left out, and only publishers have any
-    damaged = names.damaged_keys(rows.where("field_name = 'publishers'"))
-    return cut_lineage(rows.join(damaged, ["field_name", "key"], "left_anti"))
+    firms = spelt.where("field_name = 'publishers'").groupBy("field_name", "key").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
+    return rows, cut_lineage(spelt.join(names.damaged_keys(cut_lineage(firms)), ["field_name", "key"], "left_anti"))
+
+
+def _spellings(spelt: DataFrame) -> DataFrame:
+    return spelt.groupBy("field_name", "key").agg(F.min("form").alias("form"), F.sum("n").alias("n_rows"))
 
 
 def p7_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct spelling with the centre of its cluster, which is its class."""
-    return names.clusters(_named_rows(spark, sf_dir))
+    """Each distinct spelling with its class, the number of its links and of its rows."""
+    _, spelt = _named_rows(spark, sf_dir)
+    spellings = cut_lineage(_spellings(spelt))
+    found = names.clusters(spellings)
+    return found.join(spellings.select("field_name", "key", "n_rows"), ["field_name", "key"]).select("field_name", "key", "centre", "links", "n_rows")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records that name the same person or firm in different spellings."""
-    rows = _named_rows(spark, sf_dir)
-    return names.variant_pairs(rows, cut_lineage(names.clusters(rows)))
+    rows, spelt = _named_rows(spark, sf_dir)
+    found = cut_lineage(names.clusters(_spellings(spelt)))
+    keyed = salted_join(rows, spelt.select("field_name", "value", "key"), ["field_name", "value"])
+    return names.variant_pairs(keyed, found)
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,20 @@ CLEAN = [f"{a} {b}" for a in WORDS for b in ("Books", "& Sons,", "City", "1984",
 
 
 def fitted(values=CLEAN):
+    """What the operator says of a value, the exact check of words included."""
     total = sum((M.count_pairs(v) for v in values), M.Counter())
-    return M.Restorer(M.PairModel([(a, b, n) for (a, b), n in total.items()]))
+    restore = M.Restorer(M.PairModel([(a, b, n) for (a, b), n in total.items()]))
+    known = {w.lower() for v in values for w in M.LETTERS.findall(v)}
+
+    def judge(value):
+        found = restore(value)
+        if found is None:
+            return False, None, None
+        if found.words <= known:
+            return True, found.restored, found.undone
+        return (True, found.sure, found.sure_undone) if found.sure_undone else (False, None, None)
+
+    return judge
 
 
 @pytest.fixture(scope="module")
@@ -25,15 +37,14 @@ def restore():
 
 def test_utf8_read_as_something_else(restore):
     for value in CLEAN:
-        if value.isascii():
-            assert restore(value) == (False, None, None)
-            continue
-        assert restore(value)[0] is False, value
+        assert restore(value) == (False, None, None), value
         for encoding in ("cp1252", "latin-1", "mac_roman"):
             try:
                 damaged = value.encode().decode(encoding)
             except UnicodeDecodeError:
                 continue
+            if damaged == value:
+                continue
             assert restore(damaged)[:2] == (True, value), (value, damaged)
             try:
                 twice = damaged.encode().decode(encoding)
@@ -43,24 +54,50 @@ def test_utf8_read_as_something_else(restore):
 
 
 def test_lost_and_partial(restore):
-    assert restore("Malm� Books") == (True, None, "lost")
-    assert restore("KÃ¶ln und Köln")[:2] == (True, "Köln und Köln")
-    for value in (None, "", "plain", "x" * 100_000):
+    assert restore("Malm\ufffd Books") == (True, None, "lost")
+    assert restore("Malm\x85 Books")[0] and restore("KÃ¶ln und Köln")[:2] == (True, "Köln und Köln")
+    for value in (None, "", "plain", "x" * 100_000, "é" * 100_000):
         assert restore(value) == (False, None, None)
 
 
+ORDINARY = [
+    "São Paulo", "Paris – London", "L’Harmattan", "“Boston”", "Århus", "Łódź", "£ London", "Köln · Wien", "Straße", "Guimarães", "Weißenburg", "Besançon", "d’Avignon", "Gießen", "João",
+    "Český Krumlov", "Coïmbra", "© 1999", "N° 5", "½ London", "Saône", "ÅRHUS", "Ångström", "Œuvres", "東京", "Москва", "Αθήνα", "L’Œuvre — «Paris»", "… Wien", "Łomża", "José", "§ 12",
+]
+
+
+@pytest.mark.parametrize("value", ORDINARY)
+def test_clean_text_stays(restore, value):
+    """Letters, punctuation and symbols that the corpus does not have are no damage."""
+    assert restore(value) == (False, None, None)
+
+
+def test_clean_values_have_few_runs():
+    total = sum((M.count_pairs(v) for v in CLEAN), M.Counter())
+    restore = M.Restorer(M.PairModel([(a, b, n) for (a, b), n in total.items()]))
+    odd = [v for v in CLEAN if not v.isascii()]
+    assert sum(bool(restore.runs(v)) for v in odd) <= 0.05 * len(odd)
+
+
 def test_one_byte_confusions():
-    # enough clean text that the right letters are known where they belong
+    # the words of the corpus are those that occur undamaged
     restore = fitted(CLEAN * 3)
-    hits = 0
+    hits = total = 0
     for value in CLEAN:
         try:
             damaged = value.encode("cp1252").decode("cp850")
         except UnicodeError:
             continue
         if damaged != value:
+            total += 1
             hits += restore(damaged)[1] == value
-    assert hits >= 0.8 * sum(not v.isascii() for v in CLEAN)
+    assert hits >= 0.8 * total
+
+
+def test_the_alphabet_is_bounded():
+    many = "".join(chr(c) for c in range(0x4E00, 0x9FFF))
+    assert len(set(M.view(many))) <= 3 and len(M.view(many)) == len(many) + 2
+    assert len(M.REPERTOIRE) < 1200
 
 
 @given(st.lists(st.floats(-3, 3), max_size=30))
@@ -86,7 +123,7 @@ def test_segments_match_brute_force(weights):
 
 
 def model():
-    total = sum((L.count_bigrams(v) for v in [*CLEAN, "Коврин, Павел", "Тарусина, Вера", "Δελμάρης, Νίκος"]), M.Counter())
+    total = sum((L.count_trigrams(v) for v in [*CLEAN, "Коврин, Павел", "Тарусина, Вера", "Δελμάρης, Νίκος"]), M.Counter())
     return L.Unifier(L.ScriptModel([(*k, n) for k, n in total.items()]))
 
 
@@ -105,6 +142,13 @@ def test_lookalikes_come_back():
         assert unify(M.unicodedata.normalize("NFD", value)) == value
 
 
+def test_readings_come_from_the_trigrams():
+    """A letter with several readings is read as its neighbours ask; the path is traced back."""
+    unify = model()
+    assert unify("Lοndοn") == "London" and unify("Ѕalão") == "Salão" and unify("Тurkυ") == "Turku"
+    assert len(L.readings("υ")) > 2 and len(L.readings("І")) > 2
+
+
 def test_other_scripts_stay():
     unify = model()
     for value in ("Коврин, Павел", "Δελμάρης, Νίκος", "東京", "", None, "x" * 100_000):
@@ -114,6 +158,7 @@ def test_other_scripts_stay():
 def test_operators(spark):
     schema = "field_name string, row_id bigint, elem int, value string, form string"
     rows = [("places", i, 0, v, "clash") for i, v in enumerate(CLEAN)]
+    rows += [("places", 800 + i, 0, v, None) for i, v in enumerate(("São Paulo", "Guimarães", "L’Harmattan", "Köln · Wien"))]
     rows += [("places", 900, 0, "KÃ¶ln City", "clash"), ("places", 900, 0, "KÃ¶ln City", "clash"), ("places", 901, 0, None, None), ("places", 902, 0, "Vigо City", None), ("places", None, 0, "Ｖigo City", None)]
     df = spark.createDataFrame(rows, schema)
     got = M.garbled_values(df).collect()

@@ -1,6 +1,7 @@
 """Packing, leakage and abusive passages."""
 
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -11,22 +12,43 @@ from folioforge.llm import packing as P
 from folioforge.llm import toxicity as X
 
 
+def total_cost(patterns):
+    return sum(P.cost(p.capacity) * p.times for p in patterns)
+
+
 @given(st.lists(st.integers(1, 1024), max_size=200))
-@settings(max_examples=100, deadline=None)
+@settings(max_examples=60, deadline=None)
 def test_packing(lengths):
-    of, capacity = P.pack(lengths)
-    used = [0] * len(capacity)
-    for n, c in zip(lengths, of):
-        used[c] += n
-    assert all(0 < u <= c for u, c in zip(used, capacity)) and set(capacity) <= set(P.CAPACITIES)
-    assert all(c == min(p for p in P.CAPACITIES if p >= u) for u, c in zip(used, capacity))
+    histogram = Counter(lengths)
+    patterns = P.plan(histogram)
+    assert sum((Counter({n: k * p.times for n, k in Counter(p.lengths).items()}) for p in patterns), Counter()) == histogram
+    assert all(p.capacity == min(c for c in P.CAPACITIES if c >= sum(p.lengths)) for p in patterns)
+    places, used, capacity = P.Places(patterns), Counter(), {}
+    for n, times in histogram.items():
+        for k in range(times):
+            c, capacity[c] = places.of(n, k)
+            used[c] += n
+    assert len(used) == sum(p.times for p in patterns) and all(used[c] <= capacity[c] for c in used)
+
+
+def test_capacities_are_chosen_jointly():
+    rng = random.Random(1)
+    histogram = Counter(rng.randint(1, 900) for _ in range(20_000))
+    patterns = P.plan(histogram)
+    assert {p.capacity for p in patterns} == set(P.CAPACITIES)
+    for some in ((1024,), (512, 1024), (768, 1024)):
+        assert total_cost(patterns) <= total_cost(P.plan(histogram, some))
+    assert total_cost(patterns) < total_cost(P.plan(histogram, (1024,)))
+    tokens, room = sum(n * k for n, k in histogram.items()), sum(p.capacity * p.times for p in patterns)
+    assert 1 - tokens / room < 0.01 and len(patterns) < 4000
 
 
-def test_packing_is_tight():
-    rng = random.Random(1)
-    lengths = [rng.randint(1, 600) for _ in range(5000)]
-    _, capacity = P.pack(lengths)
-    assert sum(capacity) <= 1.002 * sum(lengths) + 1024
+def test_packing_does_not_depend_on_partitions(spark):
+    rng = random.Random(2)
+    rows = [(i, "word " * rng.randint(0, 1500)) for i in range(600)] + [(5, "word " * 40)] * 5
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one, two = (sorted(map(tuple, P.pack_documents(x).collect()), key=str) for x in (df.repartition(1), df.repartition(7)))
+    assert one == two
 
 
 def test_containers(spark):
@@ -98,6 +120,7 @@ def test_leak_operator(spark, items, monkeypatch):
     assert got == sorted([(k, k) for k, _ in items] + [(0, 0)])
     monkeypatch.setattr(K, "MOST_WORDS", 300)
     assert sorted((r.doc_id, r.item_id) for r in K.leaked(documents, table).collect()) == got
+    monkeypatch.undo()
     assert K.leaked(documents.limit(0), table).count() == 0 and K.leaked(documents, table.limit(0)).count() == 0
 
 
@@ -166,12 +189,14 @@ def test_no_labels(spark):
 def test_calibration():
     lam = X.solve_lambda([(-1.0, 900), (1.0, 100)])
     assert abs(0.9 * 2.718281828 ** (-lam) + 0.1 * 2.718281828**lam - 1) < 1e-6
+    assert X.chance_rate({}, 0, 1.0) == 1.0 and X.best_cut([(1.0, False)]) == X.math.inf
     assert X.best_cut([(5.0, True), (4.0, True), (1.0, False), (0.0, False)]) == 2.5
     assert X.calibrated(0, 10, 1) == 0 and X.calibrated(50, 10, 1) > X.calibrated(20, 10, 1) > 0
 
 
 def test_disguises():
-    known = {}
-    tokens = lambda t: X.token_spans(t, known)[0]
+    tokens = lambda t: X.token_spans(t)[0]
     assert tokens("w o r t h l e s s pig") == ["worthless", "pig"] and tokens("p1g") == ["pig"] and tokens("s****d 1999") == [X.MASK, X.NUMBER]
     assert tokens("Ünïcode É") == ["unicode", "e"]
+    for text in ("w o r t h l e s s pig", "p1g s****d 1999", "Ünïcode É", "", "b.r.a.i.n.l.e.s.s m0r0n"):
+        assert X.tokens_of(text, {}) == tokens(text)
