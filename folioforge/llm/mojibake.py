@@ -38,9 +38,9 @@ STRUCTURE = 2.0
 #: Pseudo-counts of symbols beside blanks, digits and punctuation, as a share of all pairs.
 SYMBOLS_APART = 0.05
 #: Log likelihood that a one-byte mapping of a run of letters must gain, in nats.
-MARGIN = 3.0
+MARGIN = 0.5
 #: Nats that a mapping other than from the code pages 437 and 850 must gain besides.
-RARE = 2.0
+RARE = 6.0
 MEMO = 200_000
 EDGE = "\x02"
 #: What stands for a letter of another script, and for another symbol.
@@ -136,6 +136,17 @@ NARROW = (
 )
 
 
+def one_byte_inverses(text: str) -> list[str]:
+    """The readings of a whole text under every mapping between one-byte encodings and from ANSEL."""
+    out = []
+    for source, target in NARROW:
+        try:
+            out.append(to_bytes(text, source).decode(target))
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+    return [x for x in (*out, ansel(text)) if x and x != text]
+
+
 #: Mappings of old terminals and catalogue systems; others always need the check of words.
 USUAL = frozenset({"cp1252 as cp850", "cp1252 as cp437", "ansel as latin-1"})
 

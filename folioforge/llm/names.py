@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.canonical import fold
-from folioforge.llm.mojibake import ansel
+from folioforge.llm.mojibake import odd, one_byte_inverses
 from folioforge.operators.multivalue import within_edits
 from folioforge.operators.skew import salted_join
 from folioforge.session import cut_lineage, spread
@@ -509,22 +509,25 @@ def clusters(spellings: DataFrame) -> DataFrame:
     return plain.select("field_name", "key", "form", "plain").join(stars, ["field_name", "plain"])
 
 
-def damaged_keys(spellings: DataFrame) -> DataFrame:
-    """``field_name, key`` of spellings that are another, twice as frequent one read in the wrong encoding.
+def damaged_values(spelt: DataFrame) -> DataFrame:
+    """``field_name, value`` of values that are another, twice as frequent name read in the wrong encoding.
 
-    ``spellings(field_name, key, form, n)``, ``n`` the rows.  An exact check for marks that
-    were read as letters before their own: the letters alone can look likely, but the
-    spelling without them is there.
+    ``spelt(field_name, value, key, n)``, ``n`` the rows.  An exact check for letters and
+    symbols that can look likely where they stand, but whose inverse is there.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(n, k, spelling_key(other), c) for n, k, f, c in zip(batch["field_name"], batch["key"], batch["form"], batch["n"]) if not f.isascii() and (other := ansel(f))]
-            yield pd.DataFrame(found, columns=["field_name", "key", "other", "n"])
-
-    suspects = spellings.mapInPandas(run, "field_name string, key string, other string, n bigint").where("key <> other")
-    known = spellings.select("field_name", F.col("key").alias("other"), F.col("n").alias("support"))
-    return suspects.join(known, ["field_name", "other"]).where("support >= 2 * n").select("field_name", "key").distinct()
+            rows = []
+            for name, value, key in zip(batch["field_name"], batch["value"], batch["key"]):
+                others = {spelling_key(o) for o in one_byte_inverses(value)} - {key, ""}
+                rows.extend((name, value, key, o) for o in sorted(others))
+            yield pd.DataFrame(rows, columns=["field_name", "value", "key", "other"])
+
+    support = cut_lineage(spelt.groupBy("field_name", "key").agg(F.sum("n").alias("n")))
+    suspects = spelt.where(odd()).select("field_name", "value", "key").mapInPandas(run, "field_name string, value string, key string, other string")
+    found = suspects.join(support, ["field_name", "key"]).join(support.select("field_name", F.col("key").alias("other"), F.col("n").alias("support")), ["field_name", "other"])
+    return found.where("support >= 2 * n").select("field_name", "value").distinct()
 
 
 def variant_pairs(rows: DataFrame, found: DataFrame, salts: int = 16) -> DataFrame:

@@ -201,8 +201,8 @@ def _named_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     values = cut_lineage(rows.groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n")))
     spelt = cut_lineage(_spelt(values, packed_elements(spark, sf_dir)))
     # garbled elements are left out, and only publishers have any
-    firms = spelt.where("field_name = 'publishers'").groupBy("field_name", "key").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
-    return rows, cut_lineage(spelt.join(names.damaged_keys(cut_lineage(firms)), ["field_name", "key"], "left_anti"))
+    damaged = names.damaged_values(spelt.where("field_name = 'publishers'"))
+    return rows, cut_lineage(spelt.join(damaged, ["field_name", "value"], "left_anti"))
 
 
 def _spellings(spelt: DataFrame) -> DataFrame:
