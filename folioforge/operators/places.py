@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -196,18 +197,72 @@ def answer_scopes(answers: DataFrame, countries: DataFrame, regions: DataFrame,
 
     Answers of fewer than two parts, and of unknown or ambiguous parts only, have no row.
     """
-    parts = answers.select(key, F.posexplode(F.split(text, ",")).alias("pos", "name")).withColumn("name", strip_ws(F.col("name")))
-    parts = parts.where((F.col("pos") > 0) & (F.col("name") != ""))
+    # blank parts do not count
+    given = F.filter(F.transform(F.split(text, ","), lambda p: strip_ws(p)), lambda p: p != "")
+    parts = answers.select(key, F.posexplode(given).alias("pos", "name")).where("pos > 0")
     scoped = parts.join(scope_by_name(parts, countries, regions), "name").where("country is not null")
     order = Window.partitionBy(key).orderBy(F.col("admin1").isNotNull().desc(), F.col("pos").desc())
     return scoped.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(key, "country", "admin1")
 
 
+def finished_keys(done: DataFrame, key: str = "geo_key", matched: str = "geonames_matched") -> DataFrame:
+    """The keys that need no second answer: the matched ones, or all of a list that has keys only."""
+    if matched in done.columns:
+        done = done.where(F.lower(F.trim(F.col(matched).cast("string"))).isin("true", "1"))
+    return done.select(key).where(F.col(key).isNotNull())
+
+
+def crosswalk(names: DataFrame, countries: DataFrame, regions: DataFrame) -> DataFrame:
+    """``place_name_008, country, admin1, note`` of every name, sorted; unresolved and ambiguous ones have a note and no scope."""
+    scoped = scope_by_name(names.where("name is not null"), countries, regions)
+    several = regions.select(match_key(strip_qualifier(F.col("name"))).alias("__k"), "country").groupBy("__k").agg((F.count_distinct("country") > 1).alias("__several"))
+    rows = scoped.withColumn("__k", match_key(strip_qualifier(F.col("name")))).join(several, "__k", "left")
+    note = F.when(F.col("country").isNull(), F.when(F.col("__several"), "ambiguous").otherwise("unresolved"))
+    return rows.select(F.col("name").alias("place_name_008"), "country", "admin1", note.alias("note")).orderBy("place_name_008")
+
+
+def geocode_answers(answers: DataFrame, countries: DataFrame, regions: DataFrame, index: DataFrame, key: str = "geo_key", text: str = "normalized_place") -> DataFrame:
+    """Every answer ``Place, Region, Country`` with its scope and the entry matched in it, or nulls.
+
+    The first part is the place, cleaned before it is matched.
+    """
+    scopes = answer_scopes(answers, countries, regions, key, text)
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: strip_ws(p)), lambda p: p != "")
+    probes = answers.select(key, clean_string(F.get(parts, F.lit(0))).alias("place")).join(scopes, key)
+    found = match_places(probes.where("place <> ''"), index, key).select(key, "geonameid", "name", "lat", "lon", "ambiguous")
+    out = answers.select(key, text).join(scopes, key, "left").join(found, key, "left")
+    return out.withColumn("geonames_matched", F.col("geonameid").isNotNull())
+
+
 def normalize_remote(places: DataFrame, normalizer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], key: str = "geo_key") -> DataFrame:
     """``key, normalized_place`` from a pluggable normaliser over batches, each partition by itself."""
     return places.mapInPandas(normalizer, f"{key} string, normalized_place string")
 
 
+def remote_normalizer(call: Callable[[dict], str | None], tries: int = 3, wait: Callable[[float], None] = time.sleep, key: str = "geo_key"):
+    """A normaliser that asks ``call`` for each row, up to ``tries`` times with pauses of 1, 2, 4 ... seconds.
+
+    A row that fails every time has no answer and is left out, so the next run asks again;
+    an answer of none is an answer.
+    """
+
+    def ask(row: dict) -> tuple[bool, str | None]:
+        for attempt in range(tries):
+            try:
+                return True, call(row)
+            except Exception:
+                if attempt + 1 < tries:
+                    wait(2.0**attempt)
+        return False, None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            answers = [(row[key], *ask(row)) for row in batch.to_dict("records")]
+            yield pd.DataFrame([(k, a) for k, good, a in answers if good], columns=[key, "normalized_place"])
+
+    return run
+
+
 def dictionary_normalizer(answers: dict[str, str], key: str = "geo_key", place: str = "places_clean"):
     """An offline normaliser that looks places up."""
 

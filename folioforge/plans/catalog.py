@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.plans import clean, fields, geo, ingest, records, series
+from folioforge.plans import clean, fields, files, geo, ingest, records, series
 
-MODULES = [records, series, fields, geo, clean, ingest]
+MODULES = [records, series, fields, geo, clean, ingest, files]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 FLAGSHIP = "city_share_ci"

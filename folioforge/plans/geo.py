@@ -11,7 +11,8 @@ from folioforge.plans import oracle as O
 from folioforge.session import table
 
 CITY = "Vorham"
-#: The box of the map: longitudes and latitudes, inclusive.
+#: The country of the map, and its box: longitudes and latitudes, inclusive.
+MAP_COUNTRY = "xa"
 BOX = (-125.0, -66.0, 24.0, 60.0)
 
 
@@ -98,9 +99,9 @@ def source_counts(spark, sf_dir):
 
 
 def coordinate_counts(spark, sf_dir):
-    """Rows at each coordinate inside the box, and whether any is of the city."""
+    """Rows at each coordinate of the country inside the box, and whether any is of the city."""
     west, east, south, north = BOX
-    inside = F.col("lon").between(west, east) & F.col("lat").between(south, north)
+    inside = (F.col("country_code") == MAP_COUNTRY) & F.col("lon").between(west, east) & F.col("lat").between(south, north)
     return _coded(spark, sf_dir).where(inside).groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("city_group").eqNullSafe(CITY)).alias("in_city"))
 
 
@@ -199,6 +200,16 @@ def answer_scopes(spark, sf_dir):
     return P.answer_scopes(answers, *_scopes(spark, sf_dir))
 
 
+def disambiguation_samples(spark, sf_dir):
+    """Groups whose place names occur in several regions of the gazetteer, beside the entry matched in their scope."""
+    index = P.gazetteer_index(table(spark, sf_dir, "gazetteer"))
+    several = index.where("tier = 1").groupBy("name_key").agg(F.count_distinct("country", "admin1").alias("n")).where("n > 1")
+    groups, probes = _scoped(spark, sf_dir)
+    asked = groups.join(several.select(F.col("name_key").alias("places_clean")), "places_clean", "left_semi")
+    found = P.match_places(probes, index).select("geo_key", "name", "admin1", "ambiguous")
+    return asked.join(found, "geo_key", "left").select("places_clean", "place_name_008", F.col("name").isNotNull().alias("geonames_matched"), "name", "admin1", "ambiguous", "n_records")
+
+
 def seeded_sample(spark, sf_dir):
     """Twenty keys in the order of a seeded hash; a sampling operator."""
     groups = P.geo_groups(_keyed(spark, sf_dir))
@@ -239,7 +250,7 @@ QUERIES = {
     for f in (
         geo_key_policy, geo_groups, places_per_record, dedup_rows, gazetteer_index, gazetteer_match, direct_geocode, residual_keys, coalesce_join, source_counts,
         coordinate_counts, marker_sizes, peak_split, coverage_report, agreement_matrix, group_counts, repeated_pct, lccn_join, semi_several, place_hints, scope_names, answer_scopes,
-        seeded_sample, top_groups, prefix_cube, special_totals,
+        disambiguation_samples, seeded_sample, top_groups, prefix_cube, special_totals,
     )
 }
 
@@ -283,7 +294,7 @@ coded AS (
     CASE WHEN m AND geocode_policy = '008' THEN '008' WHEN m THEN 'second' END AS geocode_policy_used, CASE WHEN m AND geocode_policy = '008' THEN 'direct' WHEN m THEN 'second' ELSE 'unmatched' END AS geocode_source
   FROM (SELECT r.obs_id, geo_key, r.city_group, c.*, coalesce(geonames_matched, false) AND (geocode_policy = '008' OR geocode_policy IS NULL) AS m FROM rows_ r LEFT JOIN codes c USING (geo_key))
 )"""
-_BOXED = f"boxed AS (SELECT lat, lon, count(*) AS n FROM coded WHERE lon BETWEEN {BOX[0]} AND {BOX[1]} AND lat BETWEEN {BOX[2]} AND {BOX[3]} GROUP BY 1, 2)"
+_BOXED = f"boxed AS (SELECT lat, lon, count(*) AS n FROM coded WHERE country_code = '{MAP_COUNTRY}' AND lon BETWEEN {BOX[0]} AND {BOX[1]} AND lat BETWEEN {BOX[2]} AND {BOX[3]} GROUP BY 1, 2)"
 _LCCN = """CASE WHEN regexp_matches(lower({0}), '\\d') THEN regexp_extract(lower({0}), '([a-z]*)\\s*(\\d+)', 1)
   || CASE WHEN regexp_full_match(regexp_extract(lower({0}), '([a-z]*)\\s*(\\d+)', 2), '0+') THEN '0' ELSE ltrim(regexp_extract(lower({0}), '([a-z]*)\\s*(\\d+)', 2), '0') END END"""
 _BARE = "regexp_replace({0}, '(?i)\\s*\\(\\s*(state|province)\\s*\\)\\s*$', '')"
@@ -308,10 +319,13 @@ s AS (SELECT geo_key, geocode_policy, geonameid, ambiguous, cid, geocode_policy
   FROM groups LEFT JOIN best USING (geo_key) CROSS JOIN city)
 SELECT geo_key, geocode_policy, CASE WHEN swap THEN cid ELSE geonameid END AS geonameid,
   CASE WHEN swap THEN 'city of several places' WHEN geonameid IS NULL THEN 'no candidate' WHEN ambiguous THEN 'ambiguous' ELSE 'direct' END AS geocode_reason, CASE WHEN swap THEN cid ELSE geonameid END IS NOT NULL AS geonames_matched FROM s""",
+    "disambiguation_samples": f"""WITH {_MATCH}, shared AS (SELECT name_key FROM idx WHERE tier = 1 GROUP BY 1 HAVING count(DISTINCT CASE WHEN admin1 IS NOT NULL AND country IS NOT NULL THEN country || '.' || admin1 END) > 1)
+SELECT g.places_clean, place_name_008, b.geonameid IS NOT NULL AS geonames_matched, e.name, b.admin1, b.ambiguous, n_records
+FROM groups g LEFT JOIN best b USING (geo_key) LEFT JOIN gazetteer e ON e.geonameid = b.geonameid WHERE places_clean IN (SELECT name_key FROM shared)""",
     "residual_keys": f"WITH {_GROUPS} SELECT geo_key, n_records FROM groups WHERE geo_key NOT IN (SELECT geo_key FROM geocode_results WHERE geonames_matched AND geo_key IS NOT NULL)",
     "coalesce_join": f"WITH {_CODED} SELECT obs_id, geo_key, lat, lon, country_code, geocode_policy_used, geocode_source FROM coded",
     "source_counts": f"WITH {_CODED} SELECT geocode_source, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM coded), 6) AS percent FROM coded GROUP BY 1",
-    "coordinate_counts": f"WITH {_CODED} SELECT lat, lon, count(*) AS n, bool_or(city_group IS NOT DISTINCT FROM '{CITY}') AS in_city FROM coded WHERE lon BETWEEN {BOX[0]} AND {BOX[1]} AND lat BETWEEN {BOX[2]} AND {BOX[3]} GROUP BY 1, 2",
+    "coordinate_counts": f"WITH {_CODED} SELECT lat, lon, count(*) AS n, bool_or(city_group IS NOT DISTINCT FROM '{CITY}') AS in_city FROM coded WHERE country_code = '{MAP_COUNTRY}' AND lon BETWEEN {BOX[0]} AND {BOX[1]} AND lat BETWEEN {BOX[2]} AND {BOX[3]} GROUP BY 1, 2",
     "marker_sizes": f"WITH {_CODED}, {_BOXED} SELECT lat, lon, round(4.0 + 396.0 * sqrt(n) / (SELECT sqrt(max(n)) FROM boxed), 6) AS size FROM boxed",
     "peak_split": f"""WITH {_CODED}, y AS (SELECT year_min, round(100.0 * count(*) FILTER (city_group IS NOT DISTINCT FROM '{CITY}') / count(*), 6) AS share FROM imprint_places
   WHERE year_min BETWEEN 1900 AND 2010 AND city_group IS DISTINCT FROM '{NO_PLACE}' GROUP BY 1),

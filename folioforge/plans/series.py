@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.classes import BINS, assign_bin
-from folioforge.functions.text import NO_PLACE
+from folioforge.functions.text import NO_PLACE, canonical_place
 from folioforge.operators import series as S
+from folioforge.plans import oracle as O
 from folioforge.session import table
 
 CITY, START, END, WINDOW = "Vorham", 1900, 2010, 5
@@ -129,6 +130,14 @@ def first_appearance_stats(spark, sf_dir):
     return first.agg(F.count(F.lit(1)).alias("places"), late.alias("after"), F.round(F.coalesce(F.try_divide(100.0 * late, F.count(F.lit(1))), F.lit(0.0)), 6).alias("percent"))
 
 
+def first_appearance_canonical(spark, sf_dir):
+    """The same of places in their canonical form; markers of no place are none."""
+    rows = _rows(spark, sf_dir).where("year_min is not null").select(canonical_place(F.col("places_clean")).alias("place"), "year_min").where("place is not null")
+    first = rows.groupBy("place").agg(F.min("year_min").alias("y"))
+    late = F.count_if(F.col("y") > 1950)
+    return first.agg(F.count(F.lit(1)).alias("places"), late.alias("after"), F.round(F.coalesce(F.try_divide(100.0 * late, F.count(F.lit(1))), F.lit(0.0)), 6).alias("percent"))
+
+
 def _real():
     return F.col("places_clean").isNotNull() & (F.trim("places_clean") != "") & ~F.col("city_group").eqNullSafe(NO_PLACE)
 
@@ -162,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         city_share, city_share_smoothed, city_share_ci, category_counts, poisson_band, unique_publishers, publisher_correlation, range_share_matrix,
-        range_totals, featured_ranges, peak_year, crossing_stats, period_probability, first_occurrence, new_publisher_share, first_appearance_stats,
+        range_totals, featured_ranges, peak_year, crossing_stats, period_probability, first_occurrence, new_publisher_share, first_appearance_stats, first_appearance_canonical,
         place_histogram, place_share_methods,
     )
 }
@@ -226,6 +235,9 @@ SELECT first_above, last_above, (SELECT min(year_min) FROM share WHERE round_eve
 ) SELECT period, n, round(p, 6) AS p, round(p / (1 - p), 6) AS odds, round((p / (1 - p)) / (SELECT p / (1 - p) FROM p WHERE period = 'before'), 6) AS odds_ratio FROM p""",
     "first_occurrence": _FIRST,
     "new_publisher_share": f"WITH imprint_firsts AS ({_FIRST}), {_COUNTS.replace('FROM imprint_places', 'FROM imprint_firsts')}, {_SMOOTH} SELECT year_min, round(100.0 * c / nullif(c + o, 0), 6) AS share FROM smooth",
+    "first_appearance_canonical": f"""SELECT count(*) AS places, count(*) FILTER (y > 1950) AS "after", round(coalesce(100.0 * count(*) FILTER (y > 1950) / nullif(count(*), 0), 0), 6) AS percent
+FROM (SELECT canonical, min(year_min) AS y FROM imprint_places JOIN ({O.canonical('SELECT DISTINCT places_clean FROM imprint_places', 'places_clean', O.states())}) USING (places_clean)
+  WHERE canonical IS NOT NULL AND year_min IS NOT NULL GROUP BY 1)""",
     "first_appearance_stats": """SELECT count(*) AS places, count(*) FILTER (y > 1950) AS "after", round(coalesce(100.0 * count(*) FILTER (y > 1950) / nullif(count(*), 0), 0), 6) AS percent
 FROM (SELECT places_clean, min(year_min) AS y FROM imprint_places WHERE trim(places_clean) <> '' AND year_min IS NOT NULL GROUP BY 1)""",
     "place_histogram": f"""WITH k AS (SELECT lccn, sum({_REAL}::INT) AS k FROM imprint_places WHERE lccn IS NOT NULL GROUP BY 1)

@@ -40,14 +40,14 @@ def read_codes(spark: SparkSession, path: str, columns: str) -> DataFrame:
 
 def read_rows(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """A CSV with header under given types, identifiers as text; missing columns become null."""
-    rows = spark.read.csv(path, header=True, inferSchema=False)
+    rows = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=True)
     return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).try_cast(t).alias(c) for c, t in columns.items()])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header; arrays are joined by ``; ``."""
+    """CSV with header; arrays are joined by ``; ``, blanks at the ends of texts are kept."""
     arrays = {f.name for f in df.schema if f.dataType.typeName() == "array"}
-    df.select(*[F.array_join(F.transform(c, lambda x: x.cast("string")), "; ").alias(c) if c in arrays else F.col(c) for c in df.columns]).write.mode("overwrite").csv(path, header=True)
+    df.select(*[F.array_join(F.transform(c, lambda x: x.cast("string")), "; ").alias(c) if c in arrays else F.col(c) for c in df.columns]).write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"')
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:

@@ -13,6 +13,11 @@ def counts(rows: DataFrame, city: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_if(inside).alias("city_n"), F.count_if(~inside).alias("other_n"))
 
 
+def add_up(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial counts of any number of files added; a key that a file lacks counts as 0 there."""
+    return parts.groupBy(*keys).agg(F.sum("city_n").alias("city_n"), F.sum("other_n").alias("other_n"))
+
+
 def start_cube(spark: SparkSession, folder: str, schema, city: str, keys: list[str], target: str, checkpoint: str) -> StreamingQuery:
     """Count the rows of the parquet files of a folder; each trigger replaces the table at ``target``.
 

@@ -131,3 +131,43 @@ def test_many_variants_codes_and_regions(spark):
     df = spark.createDataFrame([(f"foo {words[19_999]} street",), ("a new york", ), ("mt horeb",), ("s l",), (None,), ("",)], "p string")
     got = {r.p: r.canonical for r in P.canonical_by_table(df, "p", regions).collect()}
     assert got == {f"foo {words[19_999]} street": "foo r19999", "a new york": "a new yy", "mt horeb": "mt horeb", "s l": None, None: None, "": None}
+
+
+def test_remote_answers(spark, tmp_path):
+    """Three tries with growing pauses; what fails is asked again in the next run, what is finished is not."""
+    from folioforge.sources.tables import append_answers
+
+    tried, pauses = {}, []
+
+    def call(row):
+        tried[row["geo_key"]] = tried.get(row["geo_key"], 0) + 1
+        if row["geo_key"] == "never" or row["geo_key"] == "late" and tried["late"] < 3:
+            raise OSError
+        return None if row["geo_key"] == "empty" else row["place"].title()
+
+    ask = P.remote_normalizer(call, wait=pauses.append)
+    batch = pd.DataFrame({"geo_key": ["now", "late", "never", "empty"], "place": ["a", "b", "c", "d"]})
+    got = pd.concat(ask(iter([batch])))
+    assert got.set_index("geo_key")["normalized_place"].to_dict() == {"now": "A", "late": "B", "empty": None}
+    assert tried == {"now": 1, "late": 3, "never": 3, "empty": 1} and pauses == [1.0, 2.0, 1.0, 2.0]
+    places = spark.createDataFrame([(k, k) for k in ("a", "b", "c")], "geo_key string, place string")
+    flaky = P.remote_normalizer(lambda row: 1 / 0 if row["geo_key"] == "b" else "x", wait=lambda s: None)
+    path = str(tmp_path / "answers")
+    append_answers(P.normalize_remote(places, flaky), path)
+    left = P.residual(places, P.finished_keys(spark.read.parquet(path)))
+    assert [r.geo_key for r in left.collect()] == ["b"]
+    done = spark.createDataFrame([("a", "True"), ("b", "false"), ("c", "1"), (None, "true")], "geo_key string, geonames_matched string")
+    assert sorted(r.geo_key for r in P.finished_keys(done).collect()) == ["a", "c"]
+
+
+def test_answers_are_geocoded(spark, gazetteer):
+    countries = spark.createDataFrame([("Freedonia", "US")], "name string, country string")
+    regions = spark.createDataFrame([("Illinois", "US", "IL"), ("Georgia", "US", "GA"), ("Twinland", "US", "X1"), ("Twinland", "GB", "X2")], "name string, country string, admin1 string")
+    answers = spark.createDataFrame(
+        [("a", "Athens, Illinois, Freedonia"), ("b", "Lemont, Freedonia"), ("c", "Athens"), ("d", "Athens, Nowhere"), ("e", None), ("f", ", Athens , , Georgia"), ("g", "Zzz, Illinois"), ("h", "Athens, Twinland")],
+        "geo_key string, normalized_place string",
+    )
+    got = {r.geo_key: (r.admin1, r.geonameid, r.geonames_matched) for r in P.geocode_answers(answers, countries, regions, P.gazetteer_index(gazetteer)).collect()}
+    assert got == {"a": ("IL", 2, True), "b": (None, 3, True), "c": (None, None, False), "d": (None, None, False), "e": (None, None, False), "f": ("GA", 1, True), "g": ("IL", None, False), "h": (None, None, False)}
+    rows = P.crosswalk(spark.createDataFrame([("Illinois (State)",), ("Twinland",), ("Freedonia",), ("Zzz",), (None,)], "name string"), countries, regions).collect()
+    assert [tuple(r) for r in rows] == [("Freedonia", "US", None, None), ("Illinois (State)", "US", "IL", None), ("Twinland", None, None, "ambiguous"), ("Zzz", None, None, "unresolved")]
