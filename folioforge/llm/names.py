@@ -25,28 +25,29 @@ spelling; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.canonical import fold
 from folioforge.llm.mojibake import odd, one_byte_inverses
 from folioforge.operators.multivalue import within_edits
-from folioforge.operators.skew import salted_join
+from folioforge.operators.skew import hot_sums, salted_join
 from folioforge.session import cut_lineage, spread
 
 Q = 3
 ROWS = 4
 #: Jaccard similarity of cores that must be found, and the share of such pairs that is.
 SIMILAR, RECALL = 0.5, 0.98
-#: A token is common if its share of the spellings, less two standard errors, is at least this.
-COMMON_SHARE = 0.004
+#: A token is common from this share of the spellings and so many imagined ones without it, so that a
+#: few spellings of one name in a small collection make nothing common.
+COMMON_SHARE, IMAGINED = 0.004, 2500
 RARE_WEIGHT = 7.0
 #: Monge-Elkan similarity from which two spellings may mean the same, and two cores.
 ALIKE, CORE_ALIKE = 0.86, 0.75
@@ -126,6 +127,22 @@ def full_names(token: str) -> frozenset[str]:
     return FULL.get(token, frozenset()) | {token}
 
 
+def without(token: str, most: int) -> set[str]:
+    """A token without up to so many letters."""
+    level = out = {token}
+    for _ in range(most):
+        level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
+        out = out | level
+    return out
+
+
+def edits(a: str, b: str, most: int) -> int | None:
+    """The edits between two tokens, or none beyond ``most``; the letters alone rule most pairs out."""
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
+        return None
+    return next((n for n in range(most + 1) if within_edits(a, b, n)), None)
+
+
 def token_likeness(a: str, b: str, shortened: bool = True) -> float:
     """1 for equal tokens, less for nickname, abbreviation, initial and typo, else 0.
 
@@ -145,10 +162,12 @@ def token_likeness(a: str, b: str, shortened: bool = True) -> float:
     if len(a) == len(b) == 3 and sorted(a) == sorted(b):
         return 0.8
     if len(long) >= 4:
-        for x, y in ((a, b), (a.replace("rn", "m"), b.replace("rn", "m"))):
-            for edits in (0, 1, 2):
-                if edits <= max(1, len(long) // 5) and within_edits(x, y, edits):
-                    return 1 - edits / len(long)
+        most = max(1, len(long) // 5)
+        found = edits(a, b, most)
+        if found is None and ("rn" in a or "rn" in b):
+            found = edits(a.replace("rn", "m"), b.replace("rn", "m"), most)
+        if found is not None:
+            return 1 - found / len(long)
     return 0.0
 
 
@@ -157,10 +176,12 @@ class Vocabulary:
 
     def __init__(self, measured: dict[str, float]):
         self.weights, self.measured = {w: KNOWN_WEIGHT for w in KNOWN} | measured, measured
-        self.by_length: dict[int, list[str]] = {}
+        # every common word under itself without up to two letters: words within as many edits share one
+        self.near: dict[str, list[str]] = {}
         for w in sorted(self.weights):
-            if len(w) >= 4:
-                self.by_length.setdefault(len(w), []).append(w)
+            if len(w) >= 3:
+                for x in without(w, 2 if len(w) >= 7 else 1):
+                    self.near.setdefault(x, []).append(w)
         self.short = {"".join(sorted(w)): w for w in sorted(self.weights) if len(w) == 3}
         self.begins: dict[str, list[str]] = {}
         for w in self.weights:
@@ -183,10 +204,8 @@ class Vocabulary:
         if len(token) < 4:
             return self.short.get("".join(sorted(token)), token)
         most = 2 if len(token) >= 9 else 1
-        near = [
-            (n, w not in self.measured, self.weights[w], w) for size in range(len(token) - most, len(token) + most + 1) for w in self.by_length.get(size, ())
-            for n in range(1, most + 1) if within_edits(token, w, n)
-        ]
+        found = {w for x in without(token, most) for w in self.near.get(x, ()) if len(w) >= 4}
+        near = [(n, w not in self.measured, self.weights[w], w) for w in found if (n := edits(token, w, most))]
         return min(near)[3] if near else token
 
     def tokens(self, form: str) -> list[str]:
@@ -283,7 +302,7 @@ def fullness(form: str) -> int:
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(text)
 
 
 def qgrams(core: str) -> set[str]:
@@ -334,7 +353,7 @@ def common_tokens(spellings: DataFrame) -> dict[str, dict[str, float]]:
 
     counts = spellings.select("field_name", "form").mapInPandas(split, "field_name string, token string").groupBy("field_name", "token").agg(F.count(F.lit(1)).alias("n"))
     totals = spellings.groupBy("field_name").agg(F.count(F.lit(1)).alias("total"))
-    sure = F.col("n") - 2 * F.sqrt("n") >= F.col("total") * COMMON_SHARE
+    sure = F.col("n") >= (F.col("total") + IMAGINED) * COMMON_SHARE
     common = counts.join(F.broadcast(totals), "field_name").where(sure)  # one row a field
     out: dict[str, dict[str, float]] = {}
     for r in common.collect():
@@ -344,15 +363,9 @@ def common_tokens(spellings: DataFrame) -> dict[str, dict[str, float]]:
 
 def shortened(token: str) -> set[str]:
     """A token without up to as many letters as ``token_likeness`` allows edits; tokens that near share one."""
-    out: set[str] = set()
-    for t in {token, token.replace("rn", "m")}:
-        level = {t}
-        out |= level
-        # two edits are allowed from ten letters of the longer token, so the shorter has eight
-        for _ in range(2 if len(token) >= 8 else 1):
-            level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
-            out |= level
-    return out
+    # two edits are allowed from ten letters of the longer token, so the shorter has eight
+    most = 2 if len(token) >= 8 else 1
+    return set().union(*(without(t, most) for t in {token, token.replace("rn", "m")}))
 
 
 def edit_buckets(core: str) -> set[int]:
@@ -386,7 +399,9 @@ def similar_cores(cores: DataFrame) -> DataFrame:
     pairs = keyed.alias("a").join(keyed.alias("b"), "bucket").where("a.id < b.id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
     named = pairs.join(numbered.select("field_name", F.col("core").alias("one"), F.col("id").alias("id_a")), "id_a")
     named = named.join(numbered.select(F.col("core").alias("two"), F.col("id").alias("id_b")), "id_b")
-    named = named.select("field_name", F.least("one", "two").alias("core_a"), F.greatest("one", "two").alias("core_b"))
+    # cores of one token that are many edits apart never agree; a swap is two of these edits
+    apart = ~F.col("one").contains(" ") & ~F.col("two").contains(" ") & (F.levenshtein("one", "two", 8) < 0)
+    named = named.where(~apart).select("field_name", F.least("one", "two").alias("core_a"), F.greatest("one", "two").alias("core_b"))
 
     def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -530,17 +545,21 @@ def damaged_values(spelt: DataFrame) -> DataFrame:
     return found.where("support >= 2 * n").select("field_name", "value").distinct()
 
 
-def variant_pairs(rows: DataFrame, found: DataFrame, salts: int = 16) -> DataFrame:
+def variant_pairs(rows: DataFrame, spelt: DataFrame, found: DataFrame, salts: int = 16) -> DataFrame:
     """``field_name, rec_a, rec_b``: rows of one cluster in different spellings, each pair once.
 
-    ``rows(field_name, row_id, key)``.  Only clusters of two or more spellings are joined;
-    rows of hot clusters are salted.  The pairs are as many as the clusters say: where only
-    the classes matter, :func:`clusters` has one row a spelling.
+    ``rows(field_name, row_id, value)``, ``spelt(field_name, value, key, n)`` with the rows
+    of each value.  Only clusters of two or more spellings are joined; hot values and hot
+    clusters, known from the counts, are salted.  The pairs are as many as the clusters say:
+    where only the classes matter, :func:`clusters` has one row a spelling.
     """
     several = found.groupBy("field_name", "centre").agg(F.count_distinct("key").alias("n")).where("n > 1").drop("n")
     members = found.select("field_name", "key", "centre").join(several, ["field_name", "centre"])
-    named = cut_lineage(rows.select("field_name", "row_id", "key").distinct().join(members, ["field_name", "key"]))
+    members = cut_lineage(spelt.select("field_name", "value", "key", "n").join(members, ["field_name", "key"]))
+    hot = lambda on: hot_sums(members, on, "n")
+    named = salted_join(rows.select("field_name", "row_id", "value"), members.drop("n"), ["field_name", "value"], salts=salts, hot=hot(["field_name", "value"]))
+    named = cut_lineage(named.select("field_name", "centre", "row_id", "key").distinct())
     left = named.select("field_name", "centre", F.col("row_id").alias("rec_a"), F.col("key").alias("key_a"))
     right = named.select("field_name", "centre", F.col("row_id").alias("rec_b"), F.col("key").alias("key_b"))
-    pairs = salted_join(left, right, ["field_name", "centre"], salts=salts).where("rec_a < rec_b and key_a <> key_b")
+    pairs = salted_join(left, right, ["field_name", "centre"], salts=salts, hot=hot(["field_name", "centre"])).where("rec_a < rec_b and key_a <> key_b")
     return pairs.select("field_name", "rec_a", "rec_b").distinct()

@@ -221,8 +221,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records that name the same person or firm in different spellings."""
     rows, spelt = _named_rows(spark, sf_dir)
     found = cut_lineage(names.clusters(_spellings(spelt)))
-    keyed = salted_join(rows, spelt.select("field_name", "value", "key"), ["field_name", "value"])
-    return names.variant_pairs(keyed, found)
+    return names.variant_pairs(rows, spelt, found)
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

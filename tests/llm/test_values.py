@@ -168,7 +168,8 @@ def test_clusters_and_pairs(spark):
         key = lambda f: centre["first_author", N.spelling_key(f)]
         assert key(f"{s}, Robert") == key(f"Robert {s}") == key(f"{s}, Bob") == key(f"{s}, R.") == key(f"{s[:3]}{s[4:]}, Robert")
         assert key(f"{s}, Ursula") == key(f"{s}, U.") != key(f"{s}, Robert")
-    pairs = {(r.rec_a, r.rec_b) for r in N.variant_pairs(rows, found, salts=3).collect()}
+    spelt = rows.groupBy("field_name", F.col("form").alias("value"), "key").agg(F.count(F.lit(1)).alias("n"))
+    pairs = {(r.rec_a, r.rec_b) for r in N.variant_pairs(rows.withColumnRenamed("form", "value"), spelt, found, salts=3).collect()}
     # the same spelling in two rows is no pair; each pair once, smaller row first
     assert (0, 7000) not in pairs and (1, 7000) in pairs and (0, 7) not in pairs and (0, 1) in pairs and (0, 5) not in pairs
     assert all(a < b for a, b in pairs)
@@ -240,3 +241,16 @@ def test_single_edits_in_short_cores_are_found(spark):
 def test_damaged_common_words_are_one_form():
     words = N.Vocabulary({"publishing": 2.0, "books": 2.0})
     assert {words.plain(f, False) for f in ("Zorv Publishing", "Zorv Publishnig", "Zorv Pub.", "The Zorv Publishers, 1900")} == {"publishing zorv"}
+
+
+def test_words_settle_as_by_comparison_with_all():
+    rng = random.Random(12)
+    words = N.Vocabulary({"publishing": 2.0, "historical": 3.0, "zorvelbuch": 2.0})
+    for w in sorted(words.weights)[::3]:
+        if len(w) >= 5:
+            for _ in range(3):
+                t = typo(rng, typo(rng, w) if len(w) >= 9 else w)
+                most = 2 if len(t) >= 9 else 1
+                near = [(n, v not in words.measured, words.weights[v], v) for v in words.weights if len(v) >= 4 for n in range(1, most + 1) if N.within_edits(t, v, n)]
+                if t not in words.weights and t not in N.IDLE and len(t) >= 4 and not any(v.startswith(t) for v in words.weights):
+                    assert words._common(t) == (min(near)[3] if near else t), (w, t)
