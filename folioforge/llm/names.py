@@ -332,12 +332,13 @@ class MinHash:
         x = np.array([_hash(g) for g in grams], dtype=np.uint64)
         return self.mix(self.odd[:, None] * x[None, :] + self.add[:, None]).min(axis=1)
 
-    def bands(self, grams: set[str]) -> list[int]:
+    def bands(self, grams: set[str], salt: int = 0) -> np.ndarray:
+        """One number a band; the same rows in two bands, or under two salts, give different ones."""
         low = self.signature(grams).reshape(self.n_bands, ROWS)
-        mixed = np.zeros(self.n_bands, dtype=np.uint64)
+        mixed = np.arange(1, self.n_bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)
         for i in range(ROWS):
             mixed = self.mix(mixed + low[:, i])
-        return mixed.astype(np.int64).tolist()
+        return mixed.astype(np.int64)
 
 
 def common_tokens(spellings: DataFrame) -> dict[str, dict[str, float]]:
@@ -368,10 +369,12 @@ def shortened(token: str) -> set[str]:
     return set().union(*(without(t, most) for t in {token, token.replace("rn", "m")}))
 
 
-def edit_buckets(core: str) -> set[int]:
+def edit_buckets(core: str, salt: int = 0) -> np.ndarray:
     """Hashes of a core with one token shortened: cores that differ in one token by accepted edits share one."""
     words = core.split()
-    return {_hash(" ".join(words[:i] + words[i + 1 :]) + "|" + s) - (1 << 63) for i, t in enumerate(words) for s in shortened(t)}
+    rest = [" ".join(words[:i] + words[i + 1 :]) + "|" for i in range(len(words))]
+    found = {xxhash.xxh3_64_intdigest(r + s, salt) for r, t in zip(rest, words) for s in shortened(t)}
+    return np.fromiter(found, np.uint64, len(found)).astype(np.int64)
 
 
 def similar_cores(cores: DataFrame) -> DataFrame:
@@ -386,16 +389,17 @@ def similar_cores(cores: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = MinHash(n_bands)
         for batch in batches:
-            ids, buckets = [], []
-            for name, core, at in zip(batch["field_name"], batch["core"], batch["id"]):
+            buckets, sizes = [], []
+            for name, core in zip(batch["field_name"], batch["core"]):
                 salt = _hash(name)
-                found = [hash((salt, 0, x)) for x in edit_buckets(core)]
-                found += [hash((salt, band + 1, x)) for band, x in enumerate(hasher.bands(qgrams(core)))]
-                buckets += found
-                ids += [at] * len(found)
-            yield pd.DataFrame({"bucket": np.array(buckets, dtype=np.int64), "id": np.array(ids, dtype=np.int64)})
-
-    keyed = cut_lineage(spread(numbered).mapInPandas(run, "bucket bigint, id bigint"))
+                found = np.concatenate([edit_buckets(core, salt), hasher.bands(qgrams(core), salt)])
+                buckets.append(found)
+                sizes.append(len(found))
+            every = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
+            yield pd.DataFrame({"bucket": every, "id": np.repeat(batch["id"].to_numpy(), sizes)})
+
+    # both sides of the join are one exchange, which Spark reuses
+    keyed = spread(numbered).mapInPandas(run, "bucket bigint, id bigint").repartition("bucket")
     pairs = keyed.alias("a").join(keyed.alias("b"), "bucket").where("a.id < b.id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
     named = pairs.join(numbered.select("field_name", F.col("core").alias("one"), F.col("id").alias("id_a")), "id_a")
     named = named.join(numbered.select(F.col("core").alias("two"), F.col("id").alias("id_b")), "id_b")
