@@ -117,11 +117,13 @@ def match_places(probes: DataFrame, index: DataFrame, key: str = "geo_key") -> D
     candidates in the scope the largest population wins, ties the least id; ``ambiguous``
     says that there were several.  Probes without candidates have no row.
     """
-    words = F.split(canonical_place(F.col("place")), " ")
+    words = F.split("__canonical", " ")
     short = F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " ")
     short = F.when(short != F.col("place"), short)
     names = F.array(F.struct(F.lit(0).alias("step"), F.col("place").alias("name_key")), F.struct(F.lit(2).alias("step"), F.nullif(short, F.lit("")).alias("name_key")))
-    tried = probes.where("place is not null and country is not null").select(key, F.lower("country").alias("country"), F.col("admin1").alias("__admin"), F.inline(names)).where("name_key is not null")
+    # a column of its own, so that it is worked out once
+    given = probes.where("place is not null and country is not null").withColumn("__canonical", canonical_place(F.col("place")))
+    tried = given.select(key, F.lower("country").alias("country"), F.col("admin1").alias("__admin"), F.inline(names)).where("name_key is not null")
     found = tried.join(index, ["country", "name_key"]).where(F.col("__admin").isNull() | (F.col("admin1") == F.col("__admin")))
     # an entry may be reached by several of its names in one step; it is one candidate
     found = found.withColumn("step", F.col("step") + F.col("tier")).dropDuplicates([key, "step", "geonameid"])

@@ -213,7 +213,7 @@ def disambiguation_samples(spark, sf_dir):
 def seeded_sample(spark, sf_dir):
     """Twenty keys in the order of a seeded hash; a sampling operator."""
     groups = P.geo_groups(_keyed(spark, sf_dir))
-    return groups.orderBy(F.xxhash64("geo_key", F.lit(42)), "geo_key").limit(20).select("geo_key").orderBy("geo_key")
+    return groups.orderBy(F.md5(F.concat(F.lit("42:"), F.col("geo_key"))), "geo_key").limit(20).select("geo_key").orderBy("geo_key")
 
 
 def top_groups(spark, sf_dir):
@@ -354,6 +354,7 @@ SELECT rec_id, nullif(concat_ws(chr(10), '008 place: ' || nullif(trim(name), '')
 s AS (SELECT geo_key, pos, coalesce(national, CASE WHEN n = 1 THEN c END) AS country, CASE WHEN national IS NULL AND n = 1 THEN a END AS admin1
   FROM (SELECT *, {O.ascii_key(_BARE.format('name'))} AS k FROM p WHERE name <> '') LEFT JOIN nat USING (k) LEFT JOIN reg USING (k))
 SELECT geo_key, country, admin1 FROM s WHERE country IS NOT NULL QUALIFY row_number() OVER (PARTITION BY geo_key ORDER BY (admin1 IS NOT NULL) DESC, pos DESC) = 1""",
+    "seeded_sample": f"WITH {_GROUPS} SELECT geo_key FROM groups ORDER BY md5('42:' || geo_key), geo_key LIMIT 20",
     "top_groups": f"WITH {_GROUPS} SELECT geo_key, n_records FROM groups ORDER BY n_records DESC, geo_key LIMIT 10",
     "prefix_cube": f"""WITH k AS (SELECT rec_id, unnest(list_distinct(list_concat({_PREFIX}, list_transform({_PREFIX}, lambda p: p[1:1])))) AS prefix FROM marc_records)
 SELECT prefix, year_min, {_CUBE} FROM imprint_places JOIN k USING (rec_id) WHERE {_PLACED} GROUP BY 1, 2""",
