@@ -38,7 +38,8 @@ MOST_WORDS = 500_000
 #: Words of text on either side of the seeds that are aligned.
 AROUND = 12
 IGNORED = "­​-‍⁠﻿"
-WORD = re.compile(f"[^\\W_](?:[^\\W_]|[̀-ͯ{IGNORED}])*")
+# possessive, so that no word is read twice
+WORD = re.compile(f"[^\\W_]++(?:[̀-ͯ{IGNORED}]++[^\\W_]*+)*+")
 DROPPED = re.compile(f"[{IGNORED}]")
 
 

@@ -79,7 +79,8 @@ FREQUENT = {
 }
 LEET = str.maketrans({"4": "a", "3": "e", "1": "i", "0": "o", "5": "s", "7": "t", "@": "a", "$": "s"})
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
-TOKEN = re.compile(r"[^\W_]+(?:[*@$!]+[^\W_]+)+|[^\W_](?:[^\W_]|[̀-ͯ])*")
+# possessive, so that no word is read twice
+TOKEN = re.compile(r"[^\W_]++(?:[̀-ͯ]++[^\W_]*+|[*@$!]++[^\W_]++)*+")
 
 
 def token_of(word: str, known: dict[str, str]) -> str:
