@@ -238,6 +238,37 @@ def test_single_edits_in_short_cores_are_found(spark):
     assert {(a, b) for a in cores for b in cores if a < b and near(a, b)} <= got
 
 
+def test_agreeing_cores_are_found_as_by_comparison_with_all(spark):
+    """Long tokens with several edits, cores inside others, nicknames, abbreviations: no pair depends on chance."""
+    rng = random.Random(21)
+    word = lambda a, b: "".join(rng.choice("abcdefghiklmnoprstuvz") for _ in range(rng.randint(a, b)))
+    cores = set(N.NICKNAMES) | {"bob", "jim", "robt", "b", "abc", "cab", "abcd", "co", "and co", "co the zorvim"}
+    for _ in range(60):
+        short, long = word(5, 11), word(15, 24)
+        slips = long
+        for _ in range(len(long) // 5):
+            slips = typo(rng, slips)
+        other = typo(rng, short)
+        cores |= {short, long, slips, f"{other} {long}", f"{short} {word(9, 12)}", f"{short} {word(4, 6)} {word(6, 9)}", f"{short} {slips} {word(4, 5)} {word(4, 5)}", f"{other} {long} {word(4, 5)} {word(4, 5)}"}
+    cores = sorted({" ".join(sorted(c.split())) for c in cores})
+    agree = {(a, b) for a in cores for b in cores if a < b and N.monge_elkan(a.split(), b.split(), {}) >= N.CORE_ALIKE}
+    got = [(r.core_a, r.core_b) for r in N.similar_cores(spark.createDataFrame([("f", c) for c in cores], "field_name string, core string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == agree and len(agree) > 500
+
+
+def test_names_that_only_look_alike_do_not_meet():
+    """Cores made of the same few syllables share many q-grams, but no key unless few edits part them."""
+    rng = random.Random(22)
+    syllables = [a + v for a in "bdfghklmnprstvz" for v in "aeiou"]
+    tokens = sorted({"".join(rng.choice(syllables) for _ in range(5)) for _ in range(3000)})
+    holders: dict[str, list[str]] = {}
+    for t in tokens:
+        for k in N.near_keys(t):
+            holders.setdefault(k, []).append(t)
+    met = {(a, b) for h in holders.values() for i, a in enumerate(h) for b in h[i + 1 :]}
+    assert len(met) < len(tokens) / 4
+
+
 def test_damaged_common_words_are_one_form():
     words = N.Vocabulary({"publishing": 2.0, "books": 2.0})
     assert {words.plain(f, False) for f in ("Zorv Publishing", "Zorv Publishnig", "Zorv Pub.", "The Zorv Publishers, 1900")} == {"publishing zorv"}
